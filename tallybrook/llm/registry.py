@@ -5,8 +5,10 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .ann import op1_ann
+from .packing import op4_pack
+from .shards import op7_token_shards
 from .simhash import op3_simhash
 from .url_filter import OP2_SQL, op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_url_filter, op3_simhash)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_url_filter, op3_simhash, op4_pack, op7_token_shards)} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op2_url_filter": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
