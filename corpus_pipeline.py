@@ -1,5 +1,54 @@
-"""placeholder"""
+"""A training corpus in five stages, each on all rows that the one before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallybrook.llm import decontam, langid, packing, quality, simhash
+from tallybrook.llm.common import crc_mod, materialize, read
+
+#: No SQL tells a stage's result: tests/llm hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't find good go."""
+    return quality.accept(docs, read(spark, sf_dir, "labels"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return langid.accept(docs, langid.fit(docs, train=crc_mod("doc_id", 4) != 2))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates by five-word shingles the one of the least doc_id stays. At a similarity s of shingle sets the
+    share of fingerprint bits that differ is arccos(2s / (1 + s)) / pi: 39 of 256 at 0.8."""
+    return simhash.dedup(docs, shingle=5, words=4, segments=3, bits=39)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences of 2048 tokens."""
+    return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`, each written as Parquet and read again as the next one's."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs
