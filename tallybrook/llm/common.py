@@ -35,20 +35,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df once as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Drop a query's shuffle files when the query is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def write(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **options: str) -> str:
+    """Write df as Parquet; the shuffle files that this took go at once, as nothing else can use them."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+    return path
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps; needed only for disk, never for results."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df once as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(write(df, new_path(spark, name), **options))
 
 
 def drop_tables(spark: SparkSession) -> None:

@@ -10,10 +10,10 @@ d(c) is the Good-Turing discounted count for c up to K; above, a count loses the
 to, so that every context leaves mass for what it wasn't seen with. One unit of p is for unknown words.
 
 The corpus moves in columns, not rows: a task turns its documents into arrays of word numbers, and tasks exchange
-compressed arrays, so a token costs a few bytes and a few numpy operations. Four tables, each partitioned and written in
-the shared folder:
+compressed arrays, so a token costs a few bytes and a few numpy operations. A task's documents are cut into batches, in
+the same way each time they are read (an answer that doesn't fit its batch is an error). Tables, each partitioned and
+written in the shared folder:
 
-    batches   documents as word numbers, and each batch's words as hashes
     words     per batch, its words' training counts and numbers, as told by the partition of the word's hash
     answers   per batch, the pair counts of its tokens and what the contexts' backoff weights are made of, as told by the
               partition of the context (of the pair, for contexts so frequent that one task shouldn't hold them)
@@ -28,41 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, column, crc_mod, fold, free_shuffles, materialize, new_path, read, texts
+from .common import WORD, column, crc_mod, fold, materialize, new_path, read, texts, write
+from .exchange import ROW, Numbers, dealt, emit, pack, runs, unpack
 
-#: Tokens of a batch and of a partition of pairs; words of a partition of words; counts that are discounted one by one.
-BATCH, PAIRS, WORDS, K = 2_000_000, 2_000_000, 1_500_000, 5
+#: Tokens of a batch and of a partition of pairs; bytes of text for each partition of words; counts that are discounted
+#: one by one.
+BATCH, PAIRS, WORDS, K = 2_000_000, 2_000_000, 60_000_000, 5
 #: At most so many contexts are frequent: those that hold over this share of the training tokens.
 FREQUENT = 65_536
-ROW = "part long, g long, kind int, blob binary"
 END_HASH, START = np.uint64(1), np.uint64((1 << 41) - 1)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; equal bytes of neighbouring values stand together."""
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        out.append(f"{a.dtype.str[1:]:<3}{a.size:>12}".encode() + a.view(np.uint8).reshape(a.size, -1).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    while at < len(raw):
-        kind, n = np.dtype("<" + raw[at : at + 3].decode().strip()), int(raw[at + 3 : at + 15])
-        size = n * kind.itemsize
-        cut = np.frombuffer(raw, np.uint8, size, at + 15).reshape(kind.itemsize, n) if n else np.zeros((kind.itemsize, 0), np.uint8)
-        out.append(np.ascontiguousarray(cut.T).view(kind).ravel())
-        at += 15 + size
-    return out
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,57 +50,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def rows_of(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["part", "g", "kind", "blob"])
-
-
-def emit(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += len(r[3])
-        if size > 4 << 20 or len(held) >= 1000:
-            yield rows_of(held)
-            held, size = [], 0
-    if held:
-        yield rows_of(held)
-
-
-def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
-    """Rows (part, g, kind, blob) of one value of `by` at a time; the input is sorted by it."""
-    now, held = None, []
-    for b in batches:
-        keys = column(b, by)
-        for key, row in zip(keys, zip(*(column(b, n) for n in ("part", "g", "kind", "blob")), strict=True), strict=True):
-            if key != now and held:
-                yield now, held
-                held = []
-            now = key
-            held.append(row)
-    if held:
-        yield now, held
-
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, train -> (part = number of words, g, kind = tokens, blob of the batch). Word 0 is the end."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """doc_id, text, train -> batches (g, arrays): ids, which are null, which train, tokens of each document, all tokens as
+    word numbers, the words' hashes, the words' training counts. Word 0 is the end."""
     lane, count = TaskContext.get().partitionId(), 0
     find = re.compile(WORD).findall
 
-    def close() -> tuple[int, int, int, bytes]:
+    def close() -> tuple[int, list[np.ndarray]]:
         words = np.array([END_HASH, *(xxhash.xxh64_intdigest(w) for w in list(numbers)[1:])], np.uint64)
         stream, length = np.concatenate(tokens), np.array([len(t) for t in tokens], np.uint32)
         own = np.bincount(stream, weights=np.repeat(np.array(train, float), length), minlength=len(words)).astype(np.uint32)
         null = np.array([i is None for i in ids], np.uint8)
-        return len(words), lane << 20 | count, len(stream), pack(np.array([i or 0 for i in ids], np.int64), null, np.array(train, np.uint8), length, stream, words, own)
+        return lane << 20 | count, [np.array([i or 0 for i in ids], np.int64), null, np.array(train, np.uint8), length, stream, words, own]
 
-    ids, train, tokens, size, numbers = [], [], [], 0, _Numbers({"": 0})
+    ids, train, tokens, size, numbers = [], [], [], 0, Numbers({"": 0})
     for b in batches:
         for doc_id, learn, text in zip(column(b, "doc_id"), column(b, "train"), texts(b), strict=True):
             found = find(fold(text))
@@ -131,10 +74,10 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(got)
             size += len(got)
             if size >= BATCH:
-                yield rows_of([close()])
-                ids, train, tokens, size, numbers, count = [], [], [], 0, _Numbers({"": 0}), count + 1
+                yield close()
+                ids, train, tokens, size, numbers, count = [], [], [], 0, Numbers({"": 0}), count + 1
     if ids:
-        yield rows_of([close()])
+        yield close()
 
 
 def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,35 +88,41 @@ def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask_words(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, int, int, bytes]]:
-            for b in batches:
-                for g, blob in zip(column(b, "g"), column(b, "blob"), strict=True):
-                    words, own = unpack(blob)[5:7]
-                    order, start = _by_part(words, parts)
-                    for p in range(parts):
-                        at = order[start[p] : start[p + 1]]
-                        if len(at):
-                            yield p, g, 0, pack(words[at], own[at])
-
-        yield from emit(rows())
+    """Kind 0: a batch's words and counts to their parts. Kind 3: how many tokens a batch has."""
 
-    return run
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        for g, (_, _, _, _, stream, words, own) in _batches(batches):
+            order, start = _by_part(words, parts)
+            for p in range(parts):
+                at = order[start[p] : start[p + 1]]
+                if len(at):
+                    yield p, g, 0, pack(words[at], own[at])
+            yield 0, g, 3, pack(np.array([len(stream)]))
+
+    return lambda batches: emit(rows(batches))
+
+
+def _send_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from emit((0, g, 0, pack(*arrays[:6])) for g, arrays in _batches(batches))
 
 
 def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 1: per batch the counts and numbers of its words. Kind 2: the distinct counts, and N and V, of the partition."""
+    """Kind 1: per batch the counts and numbers of its words. Kind 2: the distinct counts, and N and V, of the
+    partition. Kind 3 passes."""
 
     def rows() -> Iterator[tuple[int, int, int, bytes]]:
         for part, held in runs(batches, "part"):
-            asked = [(g, *unpack(blob)) for _, g, _, blob in held]
+            yield from (r for r in held if r[2] == 3)
+            asked = [(g, *unpack(blob)) for _, g, kind, blob in held if kind == 0]
+            if not asked:
+                continue
             words, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
             total = np.bincount(back, weights=np.concatenate([a[2] for a in asked]), minlength=len(words)).astype(np.uint64)
             at = 0
             for g, own, _ in asked:
                 now = back[at : at + len(own)]
                 at += len(own)
-                yield part, g, 1, pack(total[now], now.astype(np.uint32))
+                yield part, g, 1, pack(total[now], now.astype(np.uint32), np.bitwise_xor.reduce(own, keepdims=True))
             yield part, 0, 2, pack(np.unique(total), np.array([total.sum(), (total > 0).sum()], np.uint64))
 
     yield from emit(rows())
@@ -183,8 +132,8 @@ class Corpus:
     """What every task has to know: parts, classes (the distinct training counts, ascending: no more than the square root
     of twice the tokens), tokens N, words V and documents in training."""
 
-    def __init__(self, word_parts: int, pair_parts: int, classes: np.ndarray, n: int, v: int, docs: int) -> None:
-        self.word_parts, self.pair_parts, self.classes, self.n, self.v, self.docs = word_parts, pair_parts, classes, n, v, docs
+    def __init__(self, word_parts: int, classes: np.ndarray, n: int, v: int, docs: int) -> None:
+        self.word_parts, self.pair_parts, self.classes, self.n, self.v, self.docs = word_parts, 1, classes, n, v, docs
         self.frequent = n // FREQUENT
 
     def count(self, code: np.ndarray) -> np.ndarray:
@@ -196,13 +145,16 @@ def _ask_pairs(corpus: Corpus):
 
     def one(held: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
         g = held[0][1]
-        ids, null, train, length, stream, words, _ = unpack(next(r[3] for r in held if r[2] == 0))
+        ids, null, train, length, stream, words = unpack(next(r[3] for r in held if r[2] == 0))
         order, start = _by_part(words, corpus.word_parts)
         code = np.zeros(len(words) + 1, np.uint64)  # class of the count, then part and number: tells the word and its count
         for part, _, kind, blob in held:
             if kind == 1:
-                total, number = unpack(blob)
-                code[order[start[part] : start[part + 1]]] = np.searchsorted(corpus.classes, total).astype(np.uint64) << np.uint64(41) | np.uint64(part << 28) | number
+                total, number, check = unpack(blob)
+                at = order[start[part] : start[part + 1]]
+                if len(at) != len(total) or np.bitwise_xor.reduce(words[at]) != check[0]:
+                    raise ValueError("the documents were not read in the same order again")
+                code[at] = np.searchsorted(corpus.classes, total).astype(np.uint64) << np.uint64(41) | np.uint64(part << 28) | number
         code[-1] = np.uint64(np.searchsorted(corpus.classes, corpus.docs)) << np.uint64(41) | START
         count = corpus.count(code).astype(float)
         first = np.zeros(len(stream), bool)
@@ -334,10 +286,6 @@ def _score(corpus: Corpus, discounts: Discounts, codes: np.ndarray, weights: np.
     return run
 
 
-def _sorted(df: DataFrame, parts: int, by: str) -> DataFrame:
-    return df.repartition(max(1, parts), by).sortWithinPartitions(by, "kind")
-
-
 def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the rows where `train` (a column) holds, score all: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (log10, by single words), score (log10 of the model's probability of the text).
@@ -348,25 +296,20 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
-    made = materialize(rows.mapInArrow(_batches, ROW), "batches", compression="uncompressed")
-    sizes = made.agg(F.sum("part").alias("words"), F.sum("kind").alias("tokens"), F.count("*").alias("n")).first()
-    word_parts, pair_parts = max(1, -(-(sizes["words"] or 0) // WORDS)), max(1, -(-(sizes["tokens"] or 0) // PAIRS))
-    free_shuffles(spark)
-
-    words = materialize(_sorted(made.mapInArrow(_ask_words(word_parts), ROW), word_parts, "part").mapInArrow(_answer_words, ROW), "words", compression="uncompressed")
+    word_parts = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORDS + 1
+    words = materialize(dealt(rows.mapInArrow(_ask_words(word_parts), ROW), word_parts, "part").mapInArrow(_answer_words, ROW), "words", compression="uncompressed")
     told = words.filter("kind = 2").mapInArrow(_numbers, "what int, value long, times long").groupBy("what", "value").agg(F.sum("times").alias("times")).collect()  # at most the distinct counts
     totals = {w: sum(r["value"] * r["times"] for r in told if r["what"] == w) for w in (1, 2)}
     n_docs = rows.filter("train").count()
     classes = np.unique(np.array([0, n_docs, *(r["value"] for r in told if r["what"] == 0)], np.uint64))
-    corpus = Corpus(word_parts, pair_parts, classes, totals[1], totals[2], n_docs)
-    free_shuffles(spark)
+    corpus = Corpus(word_parts, classes, totals[1], totals[2], n_docs)
+    sizes = words.filter("kind = 3").mapInArrow(_sizes, "tokens long").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    corpus.pair_parts = (sizes["tokens"] or 0) // PAIRS + 1
 
-    both = made.withColumn("kind", F.lit(0)).unionByName(words.filter("kind = 1"))
-    asked = _sorted(both, sizes["n"], "g").mapInArrow(_ask_pairs(corpus), ROW)
-    path = new_path(spark, "answers")
-    _sorted(asked, pair_parts, "part").mapInArrow(_answer_pairs(corpus), ROW).write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
-    answers = spark.read.schema(ROW).parquet(path)
-    free_shuffles(spark)
+    both = rows.mapInArrow(_send_batches, ROW).unionByName(words.filter("kind = 1"))
+    asked = dealt(both, sizes["n"], "g").mapInArrow(_ask_pairs(corpus), ROW)
+    got = dealt(asked, corpus.pair_parts, "part").mapInArrow(_answer_pairs(corpus), ROW)
+    answers = spark.read.schema(ROW).parquet(write(got, new_path(spark, "answers"), ("kind",), compression="uncompressed"))
 
     by_count = np.zeros(K + 3)
     for r in answers.filter("kind = 2").mapInArrow(_pair_numbers, "value int, times long").groupBy("value").agg(F.sum("times").alias("times")).collect():
@@ -379,7 +322,7 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     codes = codes[order]
     table = np.array([[r[s] for s in sums] for r in frequent], float).reshape(-1, K + 3)[order]
     weights = discounts.weight(corpus.count(codes).astype(float), table, corpus.n, corpus.v)
-    out = _sorted(answers.filter("kind < 2"), sizes["n"], "g").mapInArrow(_score(corpus, discounts, codes, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = dealt(answers.filter("kind < 2"), sizes["n"], "g").mapInArrow(_score(corpus, discounts, codes, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
 
 
@@ -391,6 +334,11 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(counts) + [1, 2], pa.int32()), pa.array(value, pa.int64()), pa.array([1] * len(value), pa.int64())], names=["what", "value", "times"])
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(x)[0][0]) for x in column(b, "blob")], pa.int64())], names=["tokens"])
+
+
 def _pair_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for blob in column(b, "blob"):

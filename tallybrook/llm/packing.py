@@ -4,7 +4,7 @@ Encoding gives each document's length. Documents longer than a sequence are cut,
 fill sequences of their own. What is left is a histogram of at most `capacity` lengths, whatever the corpus' size, and
 is packed on it: per bin, the longest length left is fixed and a bitset subset-sum over the lengths left finds the
 fullest combination, which is taken out as many times as it goes. Documents get their places by rank within their
-length: a rank within the task that encoded them plus the task's start.
+length: a rank within their batch plus the batch's start.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialize, read, texts
-from .tokens import BYTE_CHUNK, encoder
+from . import exchange
+from .common import column, materialize, read
+from .exchange import ROW, rows_of
+from .tokens import BYTE_CHUNK, Encoded
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -78,31 +79,6 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> tuple[dict[int, np.ndar
     return {n: np.array(x, np.int64) for n, x in rows.items()}, sequence
 
 
-def encode(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, lane (the task), rest (length left after whole pieces), rest_rank and full_rank (within lane and rest, and
-    within lane), full (whole pieces), ids (16 or 32 bits each)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lane = encoder(tokenizer, BYTE_CHUNK), TaskContext.get().partitionId()
-        ranks: Counter = Counter()
-        end, width, full_rank = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize, 0
-        for b in batches:
-            out = []
-            for doc_id, text in zip(column(b, "doc_id"), texts(b), strict=True):
-                ids = enc.encode(text) + end
-                full, rest = divmod(len(ids) // width, capacity)
-                out.append((doc_id, lane, rest, ranks[rest], full, full_rank, ids))
-                ranks[rest] += 1
-                full_rank += full
-            if out:
-                names = ("doc_id", "lane", "rest", "rest_rank", "full", "full_rank", "ids")
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lane long, rest long, rest_rank long, full long, full_rank long, ids binary")
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (binary, unsigned little-endian 32-bit), sequence_id, offset.
 
@@ -110,39 +86,49 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     for the first. Null texts count as empty (their end id alone); null ids are kept; repeated rows are packed each; an
     empty table gives no rows. Other columns are ignored.
     """
-    coded = materialize(encode(docs, tokenizer, capacity, end_id, id_col, text_col), "encoded", compression="zstd")
-    counted = coded.groupBy("lane", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    encoded = Encoded(rows, size, tokenizer, BYTE_CHUNK, end_id)
+
+    def count(g: int, ids: list, _, ends: np.ndarray, __) -> Iterator[pa.RecordBatch]:
+        full, rest = np.divmod(np.diff(ends, prepend=0), capacity)
+        kinds, n = np.unique(rest, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), g)), pa.array(kinds), pa.array(n), pa.array(np.where(np.arange(len(kinds)) == 0, full.sum(), 0))], names=["g", "rest", "n", "full"])
+
+    counted = materialize(encoded.lengths(count, "g long, rest long, n long, full long"), "counted")
     histogram = {r["rest"]: r["n"] for r in counted.groupBy("rest").agg(F.sum("n").alias("n")).collect() if r["rest"]}  # at most capacity rows
     place, sequences = slots(pack_histogram(histogram, capacity))
-    lanes = counted.groupBy("lane").agg(F.sum("full").alias("full"))
-    lanes = lanes.withColumn("full_start", F.sum("full").over(Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1))).select("lane", F.coalesce("full_start", F.lit(0)).alias("full_start"))
-    before = Window.partitionBy("rest").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.withColumn("rest_start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("lane", "rest", "rest_start").join(lanes, "lane")
-    wide = "<u2" if _narrow(tokenizer) else "<u4"
+    before = Window.partitionBy("rest").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = counted.groupBy("g").agg(F.sum("full").alias("full"))
+    lanes = lanes.select("g", F.coalesce(F.sum("full").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    starts = counted.select("g", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).join(lanes, "g")
+    starts = starts.groupBy("g").agg(F.first("first").alias("first"), F.collect_list(F.struct("rest", "start")).alias("starts"))  # at most capacity of a batch
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            get = {n: column(b, n) for n in b.schema.names}
-            out = []
-            for doc_id, rest, rank, rest_start, full, full_rank, full_start, raw in zip(*(get[n] for n in ("doc_id", "rest", "rest_rank", "rest_start", "full", "full_rank", "full_start", "ids")), strict=True):
-                ids = np.frombuffer(raw, wide).astype("<u4")
-                if rest:
-                    rank += rest_start
-                    rows = place[rest]
-                    first, k, sequence, offset = rows[np.searchsorted(rows[:, 0], rank, "right") - 1].tolist()
-                    out.append((doc_id, 0, 0, rest, ids[:rest].tobytes(), sequence + (rank - first) // k, offset + (rank - first) % k * rest))
-                for i in range(full):
-                    at = rest + i * capacity
-                    out.append((doc_id, i + bool(rest), at, capacity, ids[at : at + capacity].tobytes(), sequences + full_start + full_rank + i, 0))
-            for at in range(0, len(out), 4096):
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
-
-    return coded.join(starts, ["lane", "rest"]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
-
-
-def _narrow(tokenizer: str) -> bool:
-    return encoder(tokenizer, BYTE_CHUNK).dtype.itemsize == 2
+            if b.num_rows:
+                yield rows_of([(0, g, 3, exchange.pack(np.array([first]), np.array([x["rest"] for x in own]), np.array([x["start"] for x in own]))) for g, first, own in zip(column(b, "g"), column(b, "first"), column(b, "starts"), strict=True)])
+
+    def cut(g: int, keys: list, ids: np.ndarray, ends: np.ndarray, blob: bytes) -> Iterator[pa.RecordBatch]:
+        (full_rank,), rests, firsts = exchange.unpack(blob)
+        ranks, full_rank, out = dict(zip(rests.tolist(), firsts.tolist(), strict=True)), int(full_rank), []
+        for key, begin, end in zip(keys, [0, *ends.tolist()], ends.tolist(), strict=False):
+            full, rest = divmod(end - begin, capacity)
+            if rest:
+                rank = ranks[rest]
+                ranks[rest] += 1
+                rows = place[rest]
+                first, k, sequence, offset = rows[np.searchsorted(rows[:, 0], rank, "right") - 1].tolist()
+                out.append((key, 0, 0, rest, ids[begin : begin + rest].astype("<u4").tobytes(), sequence + (rank - first) // k, offset + (rank - first) % k * rest))
+            for i in range(full):
+                at = rest + i * capacity
+                out.append((key, i + bool(rest), at, capacity, ids[begin + at : begin + at + capacity].astype("<u4").tobytes(), sequences + full_rank + i, 0))
+            full_rank += full
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        for at in range(0, len(out), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+
+    return encoded.fill(cut, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long", starts.mapInArrow(note, ROW))
 
 
 def tokenizer_path(name: str) -> str:

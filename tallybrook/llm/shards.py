@@ -13,16 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, new_path, read, texts
+from .common import new_path, read, write
 from .packing import tokenizer_path
-from .tokens import WORD_CHUNK, encoder
+from .tokens import WORD_CHUNK, Encoded
 
-#: A shard is closed at so many ids or documents.
-SHARD_IDS, SHARD_DOCS = 2_000_000, 20_000
+#: A shard holds a batch of documents, or so many of them.
+SHARD_DOCS = 20_000
 SCHEMA = "lane long, shard long, first_key long, last_key long, n_docs long, n_ids long, id_bytes int, seed long, keys binary, nulls binary, ends binary, displacements binary, fingerprints binary, slots binary, payload binary"
 #: A row is large, so that Parquet has to look at the size after each.
 WRITE = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
@@ -108,39 +107,26 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Encode every text, append end_id, and write shards in ascending order of the id (nulls first; rows of one id by
     their texts' hash). Null texts count as empty; an empty table gives a table without shards. Returns path."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lane, shard = encoder(tokenizer, WORD_CHUNK), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], enc.dtype).tobytes()
-        keys, coded, n = [], [], 0
-
-        def close() -> pa.RecordBatch:
-            nulls = np.array([k is None for k in keys])
-            values = np.array([0 if k is None else k for k in keys], np.int64)
+    def shard(g: int, keys: list, ids: np.ndarray, ends: np.ndarray, _) -> Iterator[pa.RecordBatch]:
+        for number, at in enumerate(range(0, len(keys), SHARD_DOCS)):
+            own = keys[at : at + SHARD_DOCS]
+            begin, last = (int(ends[at - 1]) if at else 0), ends[at : at + SHARD_DOCS]
+            nulls = np.array([k is None for k in own])
+            values = np.array([0 if k is None else k for k in own], np.int64)
             h = key_hash(values, nulls, ordinals(values, nulls))
             seed, moved, slot = build(h)
             prints, numbers = np.zeros(len(h), "<u4"), np.zeros(len(h), "<u4")
             prints[slot], numbers[slot] = (h >> np.uint64(32)).astype(np.uint32), np.arange(len(h))
-            ends = np.cumsum([len(x) // enc.dtype.itemsize for x in coded]).astype("<i8")
-            row = (lane, shard, keys[0], keys[-1], len(keys), int(ends[-1]), enc.dtype.itemsize, seed, values.tobytes(), nulls.tobytes(), ends.tobytes(), moved.astype("<i4").tobytes(), prints.tobytes(), numbers.tobytes(), b"".join(coded))
+            told = values[~nulls].tolist() or [None]
+            row = (g, number, told[0], told[-1], len(own), int(last[-1]) - begin, ids.itemsize, seed, values.tobytes(), nulls.tobytes(), (last - begin).astype("<i8").tobytes(), moved.astype("<i4").tobytes(), prints.tobytes(), numbers.tobytes(), ids[begin : int(last[-1])].tobytes())
             kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64()] + [pa.binary()] * 7
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-        for b in batches:
-            for key, text in zip(column(b, "doc_id"), texts(b), strict=True):
-                ids = enc.encode(text) + end
-                keys.append(key)
-                coded.append(ids)
-                n += len(ids)
-                if n >= SHARD_IDS * enc.dtype.itemsize or len(keys) >= SHARD_DOCS:
-                    yield close()
-                    keys, coded, n, shard = [], [], 0, shard + 1
-        if keys:
-            yield close()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInArrow(run, SCHEMA).write.options(**WRITE).parquet(path)
-    return path
+    out = Encoded(rows, size, tokenizer, WORD_CHUNK, end_id).fill(shard, SCHEMA)
+    return write(out, path, **WRITE)
 
 
 def read_all(spark: SparkSession, path: str) -> DataFrame:

@@ -1,65 +1,174 @@
-"""Whole-text encoding with a public tokenizer, fast on many texts.
+"""Whole-text encoding of a table with a public tokenizer.
 
-Both kinds of vocabulary here never join characters across the start of a word, so a text is cut there and each distinct
-chunk is encoded by the tokenizers library once per worker; a bounded cache keeps the ids.
+The vocabularies here never join characters across the start of a word, so a text's ids are its chunks' ids one after
+another, a chunk being a word with the space before it, or a run of spaces. The table's distinct chunks are far fewer
+than its words, and each is encoded by the tokenizers library once in the whole job: tasks number the chunks of their
+documents, ask the partition of a chunk's hash for its ids, and put the answers in place of the numbers.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import zlib
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+from .common import column, materialize, texts
+from .exchange import ROW, Numbers, dealt, emit, pack, runs, unpack
 
 #: Unicode White_Space.
 SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Text with these is encoded whole: control characters on whose class libraries differ, and special tokens.
+#: A text with these is a chunk of its own: control characters on whose class libraries differ, and special tokens.
 ODD = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0x180E, 0x200B, 0xFEFF])) + "]|<[|]")
 #: Byte level: a word carries one space before it; of several spaces the last goes with the word.
 BYTE_CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_CHUNK = re.compile(f"[^{SPACE}]+")
-#: Chunks that a worker's cache holds, and the longest of them in characters.
-CACHE, LONGEST = 500_000, 64
+#: Chunks of a batch of documents; bytes of text for each partition of asked chunks.
+BATCH, ASKED_BYTES = 1_000_000, 20_000_000
+
+
+def chunks_of(text: str, chunk: re.Pattern) -> list[str]:
+    """Strings whose ids, one after another, are those of text."""
+    return [text] if ODD.search(text) else chunk.findall(text)
 
 
 class Encoder:
-    def __init__(self, path: str, chunk: re.Pattern) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.chunk, self.cache = Tokenizer.from_file(path), chunk, {}
+        self.model = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text as self.dtype; the same as the tokenizer's for the whole text."""
-        if ODD.search(text):
-            return self.whole(text)
-        chunks = self.chunk.findall(text)
-        cache = self.cache
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        own = {}
-        new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            own[c] = np.array(e.ids, self.dtype).tobytes()
-        out = b"".join([cache[c] if c in cache else own[c] for c in chunks])
-        if len(cache) + len(own) > CACHE:
-            cache.clear()
-        cache.update((c, x) for c, x in own.items() if len(c) <= LONGEST)
-        return out
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, chunk: re.Pattern) -> Encoder:
+        return self.many([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    key = (path, chunk.pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, chunk)
-    return _encoders[key]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _strings(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as their lengths in bytes and the bytes."""
+    raw = [x.encode("utf-8", "surrogatepass") for x in items]
+    return np.array([len(x) for x in raw], np.uint32), np.frombuffer(b"".join(raw), np.uint8)
+
+
+def _list(length: np.ndarray, raw: np.ndarray) -> list[str]:
+    data, end = raw.tobytes(), np.cumsum(length, dtype=np.int64).tolist()
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *end], end, strict=False)]
+
+
+def _ask(chunk: re.Pattern, parts: int):
+    """doc_id, text -> kind 0: a batch's documents as chunk numbers; kind 1: its distinct chunks, to their parts."""
+
+    def one(g: int, ids: list, streams: list[np.ndarray], numbers: Numbers) -> Iterator[tuple[int, int, int, bytes]]:
+        null = np.array([i is None for i in ids], np.uint8)
+        chunks = list(numbers)
+        part = np.array([zlib.crc32(c.encode("utf-8", "surrogatepass")) % parts for c in chunks], np.uint32)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.uint32)  # answers come part by part
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        yield 0, g, 0, pack(np.array([i or 0 for i in ids], np.int64), null, np.array([len(s) for s in streams], np.uint32), place[np.concatenate(streams)] if len(order) else np.zeros(0, np.uint32))
+        start = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in range(parts):
+            own = order[start[p] : start[p + 1]].tolist()
+            if own:
+                yield p, g, 1, pack(*_strings([chunks[i] for i in own]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        lane, count = TaskContext.get().partitionId(), 0
+        ids, streams, numbers, size = [], [], Numbers(), 0
+        for b in batches:
+            for doc_id, text in zip(column(b, "doc_id"), texts(b), strict=True):
+                found = chunks_of(text, chunk)
+                ids.append(doc_id)
+                streams.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                size += len(found) + 1
+                if size >= BATCH:
+                    yield from one(lane << 20 | count, ids, streams, numbers)
+                    ids, streams, numbers, size, count = [], [], Numbers(), 0, count + 1
+        if ids:
+            yield from one(lane << 20 | count, ids, streams, numbers)
+
+    return lambda batches: emit(rows(batches))
+
+
+def _answer(path: str):
+    """Chunks -> kind 1: how many ids each has; kind 2: the ids."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        enc = encoder(path)
+        for part, held in runs(batches, "part"):
+            asked = [(g, _list(*unpack(blob))) for _, g, _, blob in held]
+            distinct = list({c for _, chunks in asked for c in chunks})
+            known = {}
+            for at in range(0, len(distinct), 4096):
+                some = distinct[at : at + 4096]
+                known.update(zip(some, enc.many(some), strict=True))
+            for g, chunks in asked:
+                got = [known[c] for c in chunks]
+                yield part, g, 1, pack(np.array([len(x) for x in got], np.uint32) // np.uint32(enc.dtype.itemsize))
+                yield part, g, 2, pack(np.frombuffer(b"".join(got), enc.dtype))
+
+    return lambda batches: emit(rows(batches))
+
+
+class Encoded:
+    """A table's encoded texts, in batches g that ascend with the rows of a partition and with the partitions."""
+
+    def __init__(self, rows: DataFrame, size: int, path: str, chunk: re.Pattern, end_id: int) -> None:
+        """rows: doc_id, text (null counts as empty); size: bytes of text, about. Each text gets end_id at its end."""
+        self.spark, self.end_id, self.width = rows.sparkSession, end_id, encoder(path).dtype.itemsize
+        parts = size // ASKED_BYTES + 1
+        asked = materialize(rows.mapInArrow(_ask(chunk, parts), ROW), "asked", compression="uncompressed")
+        self.answers = materialize(dealt(asked.filter("kind = 1"), parts, "part").mapInArrow(_answer(path), ROW), "answers", compression="uncompressed")
+        self.batches = asked.filter("kind = 0")
+        self.n = self.batches.count()
+
+    def lengths(self, out: Callable, schema: str) -> DataFrame:
+        """Rows that out(g, ids of the documents, None, ends, None) makes of each batch: ends are those of the documents
+        in the batch's token ids."""
+        return dealt(self.batches.unionByName(self.answers.filter("kind = 1")), self.n, "g").mapInArrow(self._run(out, False), schema)
+
+    def fill(self, out: Callable, schema: str, extra: DataFrame | None = None) -> DataFrame:
+        """Rows that out(g, ids of the documents, token ids, ends, blob) makes of each batch; blob: that of the batch's row
+        of kind 3 in extra."""
+        rows = self.batches.unionByName(self.answers)
+        return dealt(rows if extra is None else rows.unionByName(extra), self.n, "g").mapInArrow(self._run(out, True), schema)
+
+    def _run(self, out: Callable, with_ids: bool):
+        end_id, kind = self.end_id, np.dtype(f"<u{self.width}")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g, held in runs(batches, "g"):
+                by = {k: [r[3] for r in sorted(held, key=lambda r: r[0]) if r[2] == k] for k in range(4)}  # answers part by part
+                keys, null, length, stream = unpack(by[0][0])
+                # the end is one more chunk, after each document
+                size = np.concatenate([*(unpack(x)[0] for x in by[1]), np.ones(1, np.uint32)]).astype(np.int64)
+                length = length.astype(np.int64)
+                stream = np.insert(stream.astype(np.int64), np.cumsum(length), len(size) - 1)
+                ends = np.cumsum(size[stream])
+                flat = None
+                if with_ids:
+                    ids = np.concatenate([*(unpack(x)[0] for x in by[2]), np.array([end_id], kind)])
+                    flat = ids[np.repeat((np.cumsum(size) - size)[stream] - (ends - size[stream]), size[stream]) + np.arange(ends[-1])]
+                yield from out(g, [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], flat, ends[np.cumsum(length + 1) - 1], by[3][0] if by[3] else None)
+
+        return run
