@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, column, fold, materialize, read, texts
 from .components import components
+from .exchange import ROW, dealt, emit, pack, runs, unpack
 
-#: Rows of the index that a task should hold, about.
-ENTRIES = 2_000_000
+#: Entries that a task should hold, about; fingerprints that are sent at once.
+ENTRIES, SENT = 2_000_000, 16384
 #: Entries of at most this many fingerprints are compared pair by pair at once; larger ones row by row.
 SMALL = 32
 #: In larger entries, links within two bits are found by masks, in time linear but for sorting.
@@ -66,21 +67,51 @@ def kinds_of(words: int, segments: int) -> list[tuple[int, int, int, int]]:
     return [(w, a, b - a, p) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False) for p in range(-1, b - a)]
 
 
-def _entry_rows(words: int, segments: int):
-    kinds = kinds_of(words, segments)
+def _keys(fp: np.ndarray, words: int, segments: int) -> np.ndarray:
+    """The key of each entry of each fingerprint (rows of fp), kind by kind; the kind is above the 40th bit."""
+    out = []
+    for k, (w, shift, width, p) in enumerate(kinds_of(words, segments)):
+        value = (fp[:, w] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        out.append((value & ~np.uint64(1 << p) if p >= 0 else value) | np.uint64(k << 40))
+    return np.stack(out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return z ^ (z >> np.uint64(29))
+
+
+def _entries(words: int, segments: int, parts: int):
+    """Fingerprints to the parts of their entries' keys: each once to a part, with the kinds of its entries there."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        held: list[np.ndarray] = []
+
+        def send() -> Iterator[tuple[int, int, int, bytes]]:
+            fp = np.concatenate(held)
+            part = (_mix(_keys(fp, words, segments)) % np.uint64(parts)).astype(np.int64)
+            kinds = part.shape[0]
+            part = part.T.ravel()  # by fingerprint, then kind
+            order = np.argsort(part, kind="stable")
+            start = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in range(parts):
+                at = order[start[p] : start[p + 1]]
+                if len(at):
+                    own, n = np.unique(at // kinds, return_counts=True)
+                    yield p, 0, 0, pack(fp[own].ravel(), n.astype(np.uint16), (at % kinds).astype(np.uint16))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                fp = [part.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(words)]
-                keys = []
-                for k, (w, shift, width, p) in enumerate(kinds):
-                    value = (fp[w] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                    keys.append((value & ~np.uint64(1 << p) if p >= 0 else value) | np.uint64(k << 40))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.tile(x.view(np.int64), len(kinds))) for x in fp)], names=["key", *(f"f{i}" for i in range(words))])
+            fp = np.stack([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(words)], axis=1)
+            for at in range(0, len(fp), SENT):
+                held.append(fp[at : at + SENT])
+                if sum(map(len, held)) >= SENT:
+                    yield from send()
+                    held = []
+        if held and sum(map(len, held)):
+            yield from send()
 
-    return run
+    return lambda batches: emit(rows(batches))
 
 
 class _Forest:
@@ -159,25 +190,53 @@ def links(fps: DataFrame, words: int = 1, bits: int = 2, segments: int = 2) -> D
     """(a, b): links between different fingerprints at most `bits` apart, enough of them to connect what is connected.
     fps: distinct f0, f1, ... A fingerprint stands as its word, or as a 64-bit hash of its words if it has several."""
     names = [f"f{i}" for i in range(words)]
-    rows = len(kinds_of(words, segments)) * fps.count()
-    entries = fps.select(*names).mapInArrow(_entry_rows(words, segments), "key long, " + ", ".join(f"{n} long" for n in names))
+    parts = len(kinds_of(words, segments)) * fps.count() // ENTRIES + 1
+    ends = ", ".join(f"{s}{i} long" for s in "ab" for i in range(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.array(b.column(i)) for i in range(1 + words)] for b in batches]
-        if not got:
-            return
-        key = np.concatenate([g[0] for g in got]).view(np.uint64)
-        fp = np.stack([np.concatenate([g[1 + i] for g in got]).view(np.uint64) for i in range(words)], axis=1)
-        del got
-        found = entry_links(key, fp, words, segments, bits)
-        a, b = (fp[[x[k] for x in found]].view(np.int64) if found else np.zeros((0, words), np.int64) for k in (0, 1))
-        both = np.unique(np.hstack([a, b]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(2 * words)], names=[f"{s}{i}" for s in "ab" for i in range(words)])
-
-    met = entries.repartition(max(1, -(-rows // ENTRIES), min(rows // 100_000, 64)), "key").mapInArrow(run, ", ".join(f"{s}{i} long" for s in "ab" for i in range(words)))
+        for _, held in runs(batches, "part"):
+            key, fp = [], []
+            for *_, blob in held:
+                own, n, kind = unpack(blob)
+                own = np.repeat(own.reshape(-1, words), n, axis=0)
+                fp.append(own)
+                key.append(_keys_of(own, kind.astype(np.int64), words, segments))
+            fp = np.concatenate(fp)
+            found = entry_links(np.concatenate(key), fp, words, segments, bits)
+            both = np.unique(_stars(fp, found, words), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(2 * words)], names=[f"{s}{i}" for s in "ab" for i in range(words)])
+
+    met = dealt(fps.select(*names).mapInArrow(_entries(words, segments, parts), ROW), parts, "part").mapInArrow(run, ends)
     return met.select(node([f"a{i}" for i in range(words)]).alias("a"), node([f"b{i}" for i in range(words)]).alias("b"))
 
 
+def _keys_of(fp: np.ndarray, kind: np.ndarray, words: int, segments: int) -> np.ndarray:
+    """The key of one entry of each row of fp, by its kind."""
+    word, shift, width, place = (np.array(x) for x in zip(*kinds_of(words, segments), strict=True))
+    value = (fp[np.arange(len(fp)), word[kind]] >> shift[kind].astype(np.uint64)) & ((np.uint64(1) << width[kind].astype(np.uint64)) - np.uint64(1))
+    cut = np.where(place[kind] >= 0, np.uint64(1) << np.maximum(place[kind], 0).astype(np.uint64), np.uint64(0))
+    return (value & ~cut) | (kind.astype(np.uint64) << np.uint64(40))
+
+
+def _stars(fp: np.ndarray, links: list[tuple[int, int]], words: int) -> np.ndarray:
+    """The links' components as links of each member to the least one: the same in every task that sees the group."""
+    name, back = _distinct(fp, sorted({x for link in links for x in link}), words)
+    forest = _Forest()
+    for a, b in links:
+        forest.add(back[a], back[b])  # names ascend with the fingerprints, and a root is its tree's least
+    out = [(x, forest.find(x)) for x in range(len(name)) if forest.find(x) != x]
+    a, b = (name[[x[k] for x in out]] if out else np.zeros((0, words), np.uint64) for k in (0, 1))
+    return np.hstack([a, b]).view(np.int64)
+
+
+def _distinct(fp: np.ndarray, rows: list[int], words: int) -> tuple[np.ndarray, dict[int, int]]:
+    """The distinct fingerprints among the rows, ascending, and the number of each row's."""
+    if not rows:
+        return np.zeros((0, words), np.uint64), {}
+    name, number = np.unique(fp[rows], axis=0, return_inverse=True)
+    return name, dict(zip(rows, number.ravel().tolist(), strict=True))
+
+
 def node(names: list[str]):
     return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
 
@@ -193,12 +252,12 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = 1, seg
     """
     names = [f"f{i}" for i in range(words)]
     fps = materialize(fingerprints(docs, shingle, words, id_col, text_col).withColumn("node", node(names)), "fingerprints")
-    classes = materialize(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "classes")
+    classes = materialize(fps.groupBy("node", *names).agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")), "classes")
     met = components(links(classes, words, bits, segments))
     rooted = classes.join(met, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep"))
     named = rooted.select("node", "root").join(best, "root").drop("root")
-    return fps.join(named, "node").withColumn("keeper", F.struct("doc_id", "text_hash").eqNullSafe(F.col("keep"))).drop("keep", "node")
+    return fps.join(named, "node").withColumn("keeper", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").eqNullSafe(F.col("keep"))).drop("keep", "node")
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
