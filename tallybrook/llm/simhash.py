@@ -24,8 +24,8 @@ from .common import WORD, column, fold, materialize, read, texts
 from .components import components
 from .exchange import ROW, dealt, emit, pack, runs, unpack
 
-#: Entries that a task should hold, about; fingerprints that are sent at once.
-ENTRIES, SENT = 2_000_000, 16384
+#: Entries that a task should hold, about; fingerprints that are sent at once. Both bound memory.
+ENTRIES, SENT = 500_000, 4096
 #: Entries of at most this many fingerprints are compared pair by pair at once; larger ones row by row.
 SMALL = 32
 #: In larger entries, links within two bits are found by masks, in time linear but for sorting.
