@@ -56,13 +56,16 @@ def forest_search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarra
         lo, hi = np.searchsorted(code, low), np.searchsorted(code, low + (np.int64(1) << shift))
         total += hi - lo
         forest.append((by, lo, hi))
-    depth = BITS - np.argmax((total >= min(enough, n))[:, ::-1], axis=1)
+    depth = BITS - np.argmax((total >= enough)[:, ::-1], axis=1)
+    depth[total[:, 0] < enough] = 0
+    if n <= least:  # nothing to gain from the trees
+        depth[:] = 0
     size = (u * u).sum(1)
     for i in range(len(q)):
         seen = np.zeros(n, bool)
         for by, lo, hi in forest:
             seen[by[lo[i, depth[i]] : hi[i, depth[i]]]] = True
-        found = np.flatnonzero(seen)
+        found = np.flatnonzero(seen) if seen.sum() > k else np.arange(n)
         near = size[found] - 2 * (u[found] @ q[i])
         take = k + 1  # the query's own class may hold nothing but the query
         if len(found) > take:

@@ -56,7 +56,7 @@ def smith_waterman(a: list[str], b: list[str]) -> tuple[int, int, int]:
 
 def seeds_of(items: list[tuple[int, str]], n: int, counts: Counter, total: int, chance: float) -> tuple[dict[str, list[tuple[int, int]]], dict[int, list[str]]]:
     """({seed: [(item, place)]}, {item: words}). A seed is an n-gram whose words' shares of the corpus multiply to at most
-    `chance`; an item without one, or of fewer words, is found by its rarest n-gram."""
+    `chance`, or that chance would give a whole corpus of this size less than once in a hundred; an item without one, or of fewer words, is found by its rarest n-gram."""
     seeds: dict[str, list[tuple[int, int]]] = {}
     words = {k: words_of(t) for k, t in items}
     for k, w in words.items():
@@ -64,7 +64,7 @@ def seeds_of(items: list[tuple[int, str]], n: int, counts: Counter, total: int,
         if not size:
             continue
         shares = [np.prod([max(counts[x], 1) / max(total, 1) for x in w[j : j + size]]) for j in range(len(w) - size + 1)]
-        rare = [j for j, s in enumerate(shares) if size == n and s <= chance] or [int(np.argmin(shares))]
+        rare = [j for j, s in enumerate(shares) if size == n and (s <= chance or s * total <= 0.01)] or [int(np.argmin(shares))]
         for j in rare:
             seeds.setdefault(" ".join(w[j : j + size]), []).append((k, j))
     return seeds, words
