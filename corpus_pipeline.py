@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybrook.llm import decontam, langid, packing, quality, simhash
+from tallybrook.llm import decontam, jaccard, langid, packing, quality
 from tallybrook.llm.common import crc_mod, materialize, read
 
 #: No SQL tells a stage's result: tests/llm hold them against brute force.
@@ -22,9 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates by five-word shingles the one of the least doc_id stays. At a similarity s of shingle sets the
-    share of fingerprint bits that differ is arccos(2s / (1 + s)) / pi: 39 of 256 at 0.8."""
-    return simhash.dedup(docs, shingle=5, words=4, segments=3, bits=39)
+    """Of near duplicates (a Jaccard similarity of five-word shingles of at least 0.8) the one of the least doc_id stays.
+    Fingerprints of any length only estimate the similarity, so the sets themselves are joined."""
+    return jaccard.dedup(docs, shingle=5, least=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

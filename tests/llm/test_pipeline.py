@@ -1,7 +1,9 @@
 """The pipeline, stage by stage, on the smallest tables."""
 
+import random
+
 import corpus_pipeline
-from tallybrook.llm import common, decontam, registry, simhash
+from tallybrook.llm import common, decontam, jaccard, registry, simhash
 
 
 def test_stages_keep_columns_and_only_remove_rows(spark, sf_dir):
@@ -30,3 +32,47 @@ def test_registry_is_complete():
     names = set(registry.QUERIES)
     assert "pipeline" in names and {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)}
     assert set(registry.ORACLE_SQL) <= names
+
+
+def _components_by_brute_force(rows, least=0.8):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_dedup_equals_brute_force_jaccard(spark):
+    """Edited copies on both sides of 0.8, chains of edits, copies, short and empty texts."""
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randrange(4000))
+    rows, line = [], " ".join(word() for _ in range(30))
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([8, 60, 200]))]
+        for _ in range(6):
+            text = list(base)
+            for _ in range(rng.randrange(5 if len(base) > 100 else 2)):
+                text[rng.randrange(len(text))] = word()
+            rows.append(" ".join(text) if rng.random() < 0.7 else line + " " + " ".join(text))
+            if rng.random() < 0.5:
+                base = text
+    rows += ["", None, " ", "a b", "a b", "a b c", rows[0], rows[0]]
+    rows = list(enumerate(rows))
+    want = _components_by_brute_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.groups(docs).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
