@@ -17,8 +17,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
-    return langid.accept(docs, langid.fit(docs, train=crc_mod("doc_id", 4) != 2))
+    """Documents whose language can't be told go: without letters, noise to the language that fits best, or with several
+    languages that fit alike (a chance below 0.4)."""
+    return langid.accept(docs, langid.fit(docs, train=crc_mod("doc_id", 4) != 2), score=0.4)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ phrase counts are the same wherever it stands: each distinct word is parsed once
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 EDGE = "\n"
 #: Words that a worker's cache holds.
 CACHE = 400_000
+#: Phrases beyond the limit that a text may take: a few words don't tell noise from a rare name.
+SLACK = 10
 
 
 def suffix_automaton(text: str) -> dict[int, int]:
@@ -71,12 +74,24 @@ def phrases(automaton: dict[int, int], text: str) -> int:
     return n + (state > 0)
 
 
+def rate_limit(text: str) -> float:
+    """Phrases a character above which a text is noise to the language of text: as many as the last quarter of text's
+    words take with their letters shuffled, parsed with the rest."""
+    words = text.split(EDGE)
+    cut = len(words) * 3 // 4
+    automaton, rng = suffix_automaton(EDGE.join(words[:cut]) + EDGE), random.Random(42)
+    held = ["".join(rng.sample(w, len(w))) for w in words[cut:] if w]
+    size = sum(len(w) + 1 for w in held)
+    return sum(phrases(automaton, EDGE + w + EDGE) for w in held) / size if size else 1.0
+
+
 class Model:
-    """automata: per language; built on the driver from a bounded sample."""
+    """automata: per language; built on the driver from a bounded sample. limits: per language, see rate_limit()."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
         self.automata = [suffix_automaton(texts[x]) for x in self.langs]
+        self.limits = [rate_limit(texts[x]) for x in self.langs]
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
@@ -86,12 +101,12 @@ class Model:
         marked = EDGE + w + EDGE
         return tuple(phrases(a, marked) for a in self.automata)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): und and 0 without a letter or a learned language. score: the chance of the winner where a
-        phrase more per hundred characters halves a language's odds, at most 1."""
+    def parse(self, text: str | None) -> tuple[str, float, float, int]:
+        """(language, score, phrases beyond the language's limit, characters); und and zeros without a letter or a learned
+        language."""
         words = Counter(LETTERS.findall(text.lower())) if text else {}
         if not words or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0, 0
         cache, total, size = self.cache, [0] * len(self.langs), 0
         for w, n in words.items():
             got = cache.get(w)
@@ -107,7 +122,17 @@ class Model:
         rate = np.array(total) / size
         best = int(rate.argmin())
         odds = np.exp2(-100 * (rate - rate[best]))
-        return self.langs[best], float(1 / odds.sum())
+        return self.langs[best], float(1 / odds.sum()), total[best] - self.limits[best] * size, size
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """(language, score): und and 0 without a letter or a learned language. score: the chance of the winner where a
+        phrase more per hundred characters halves a language's odds, at most 1."""
+        return self.parse(text)[:2]
+
+    def told(self, text: str | None, score: float = 0.0) -> str | None:
+        """The language, if it is told with at least `score` and the text isn't noise to it; else None."""
+        lang, sure, beyond, size = self.parse(text)
+        return lang if size and sure >= score and beyond <= SLACK else None
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, chars: int, longest: int) -> dict[str, str]:
@@ -154,10 +179,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, whose language is told with at least `score`, and is one of `languages`
-    if these are given; und is rejected."""
-    marked = identify(docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")), model)
-    kept = marked.filter((F.col("lang_pred") != "und") & (F.col("score") >= score))
-    return (kept.filter(F.col("lang_pred").isin(languages)) if languages is not None else kept).select("row.*")
+    if these are given. Texts without a letter go, and those that take over SLACK phrases more than the limit of the
+    language that fits best: letters at random and languages that weren't learned."""
+    held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    marked = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    wanted = None if languages is None else set(languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            got = [m.told(x.as_py(), score) for x in b.column(1)]
+            yield b.filter(pa.array([x is not None and (wanted is None or x in wanted) for x in got], pa.bool_()))
+
+    return marked.mapInArrow(run, marked.schema).select("row.*")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,15 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
+
+
+def test_language_stage_rejects_what_no_language_fits(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choices(a, k=rng.randrange(2, 10))) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст") for n in (30, 300)]
+    noise.append("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 3)
+    odd = spark.createDataFrame([(-1 - i, t, None, None, len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(odd), "")
+    n = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()}
+    every = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert None not in n and set(n) == set(every) and all(n[x] >= 0.995 * every[x] for x in every)
