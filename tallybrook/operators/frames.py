@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources import lake
 
 PERMUTATIONS, BANDS, ROWS = 128, 16, 8
+#: Buckets of fewer members are compared pair by pair; in larger ones each member meets so many anchors.
+ALL_PAIRS, ANCHORS = 200, 32
 
 
 def shingle_set(text, n: int = 5):
@@ -41,9 +43,13 @@ def lsh_bands(signatures: DataFrame, id_col: str, bands: int = BANDS, rows: int
 
 
 def candidate_links(bands: DataFrame, id_col: str) -> DataFrame:
-    """Each member of a bucket linked to the bucket's least id: as many links as members, not as pairs."""
-    least = bands.groupBy("band", "bucket").agg(F.min(id_col).alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return bands.join(least, ["band", "bucket"]).filter(F.col(id_col) > F.col("b")).select(F.col(id_col).alias("a"), "b").distinct()
+    """Links of a bucket's members, the larger id first: all pairs below ALL_PAIRS members, else each member with the
+    bucket's ANCHORS least ids, as the reference does."""
+    members = bands.select("band", "bucket", id_col).distinct()
+    size = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    anchors = members.withColumn("k", F.row_number().over(Window.partitionBy("band", "bucket").orderBy(id_col))).join(size, ["band", "bucket"])
+    anchors = anchors.filter((F.col("n") < ALL_PAIRS) | (F.col("k") <= ANCHORS)).select("band", "bucket", F.col(id_col).alias("b"))
+    return members.join(anchors, ["band", "bucket"]).filter(F.col(id_col) > F.col("b")).select(F.col(id_col).alias("a"), "b").distinct()
 
 
 def verified_links(links: DataFrame, texts: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:

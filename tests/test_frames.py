@@ -72,3 +72,24 @@ def test_stream_equals_batch(spark, sf_dir):
 
     got = windows.stream_hourly(spark, sf_dir).agg(F.sum("n")).first()[0]
     assert got == lake.table(spark, sf_dir, "events").count()
+
+
+def test_mixed_bucket_gives_all_its_pairs(spark):
+    """Members near each other but not near the bucket's least id; components against all pairs by hand."""
+    texts = {1: "abcdefghijklmnopqrstuvwxyz", 2: "ABCDEFGHIJKLMNOPQRS0123456789 the lamp at the crossing is broken", 3: "abcdefghijklmnopqrs0123456789 the lamp at the crossing is broken", 4: "abcdefghijklmnopqrs0123456789 the lamp at the crossing is broken!", 5: "water"}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    bands = rows.selectExpr("id", "0 AS band", "7L AS bucket")
+    found = frames.verified_links(frames.candidate_links(bands, "id"), rows, "id", "text", 0.8)
+    grams = {i: {t.lower()[k : k + 5] for k in range(len(t) - 4)} for i, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a > b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert want == {(3, 2), (4, 2), (4, 3)}
+    assert {(r["a"], r["b"]) for r in found.collect()} == want
+    got = frames.label_components(rows.select("id"), found, "id")
+    assert {r["id"]: r["component"] for r in got.collect()} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5}
+
+
+def test_large_buckets_meet_anchors(spark):
+    bands = spark.range(250).selectExpr("id", "0 AS band", "id % 1 AS bucket")
+    links = frames.candidate_links(bands, "id")
+    assert links.count() == 32 * 31 // 2 + 32 * (250 - 32)
+    assert frames.candidate_links(bands.filter("id < 199"), "id").count() == 199 * 198 // 2
