@@ -27,14 +27,19 @@ def _(d: Dialect) -> str:
     return "SELECT item, block, count(*) AS n FROM shingles GROUP BY item, block"
 
 
+@view("rare_prefix")
+def _(d: Dialect) -> str:
+    """Each item's rarest shingles, n - ceil(0.8 n) + 1 of its n: two items of similarity 0.8 or more share one of them."""
+    return "SELECT item, block, s, n FROM (SELECT x.item, x.block, x.s, c.n, row_number() OVER (PARTITION BY x.item ORDER BY f.n, x.s) AS k FROM shingles x JOIN (SELECT s, count(*) AS n FROM shingles GROUP BY s) f ON f.s = x.s JOIN shingle_counts c ON c.item = x.item) y WHERE k <= n - ceil(n * 4 / 5e0) + 1"
+
+
 @view("jaccard_pairs")
 def _(d: Dialect) -> str:
-    """Exact similarity of pairs that share one of their three rarest shingles, within blocks; no pair is compared without one."""
-    rare = "(SELECT item, block, s FROM (SELECT x.item, x.block, x.s, row_number() OVER (PARTITION BY x.item ORDER BY f.n, x.s) AS k FROM shingles x JOIN (SELECT s, count(*) AS n FROM shingles GROUP BY s) f ON f.s = x.s) y WHERE k <= 3)"
+    """Exact similarity of pairs, within blocks, that share one of their rarest shingles and whose sizes allow 0.8; no pair
+    of 0.8 or more is left out."""
     return f"""
-SELECT p.a, p.b, {d.number("i.n * 1e0 / (ca.n + cb.n - i.n)")} AS jaccard
-FROM (SELECT DISTINCT x.item AS a, y.item AS b FROM {rare} x JOIN {rare} y ON x.s = y.s AND x.block = y.block WHERE x.item < y.item) p
-JOIN (SELECT x.item AS a, y.item AS b, count(*) AS n FROM (SELECT DISTINCT x.item AS a, y.item AS b FROM {rare} x JOIN {rare} y ON x.s = y.s AND x.block = y.block WHERE x.item < y.item) q JOIN shingles x ON x.item = q.a JOIN shingles y ON y.item = q.b AND y.s = x.s GROUP BY x.item, y.item) i ON i.a = p.a AND i.b = p.b
+SELECT p.a, p.b, {d.number("p.n * 1e0 / (ca.n + cb.n - p.n)")} AS jaccard
+FROM (SELECT q.a, q.b, count(*) AS n FROM (SELECT DISTINCT x.item AS a, y.item AS b FROM rare_prefix x JOIN rare_prefix y ON x.s = y.s AND x.block = y.block WHERE x.item < y.item AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)) q JOIN shingles x ON x.item = q.a JOIN shingles y ON y.item = q.b AND y.s = x.s GROUP BY q.a, q.b) p
 JOIN shingle_counts ca ON ca.item = p.a JOIN shingle_counts cb ON cb.item = p.b"""
 
 

@@ -1,6 +1,7 @@
 """Views against DuckDB on the smallest tables, and against counts by hand on small ones."""
 
 import decimal
+import random
 
 import duckdb
 import pytest
@@ -92,3 +93,20 @@ def test_closure_summary_by_hand(spark, closure_lake):
 def test_handoffs_by_hand(spark, closure_lake):
     gaps = sorted((r["ticket_no"], r["gap_days"], r["is_invalid_order"]) for r in run(spark, "handoff_intervals", **closure_lake))
     assert gaps == [("T1", 1, False), ("T2", 6, False), ("T3", 0, False)]
+
+
+def test_near_pairs_by_brute_force(spark):
+    """Copies with edits whose rare shingles differ, and others, against all pairs; no block crossed."""
+    rng = random.Random(7)
+    texts = []
+    for n in range(12):
+        base = "".join(rng.choices("abcdefghijklmnop ", k=rng.choice([40, 150, 400])))
+        for _ in range(4):
+            body = list(base)
+            for _ in range(rng.randrange(4)):
+                body[rng.randrange(len(body))] = "#"
+            texts.append((f"i{len(texts):03}", "".join(body), "x" if rng.random() < 0.8 else "y"))
+    got = {(r["a"], r["b"]): r["jaccard"] for r in run(spark, "near_pairs", dedup_texts=spark.createDataFrame(texts, "item string, body string, block string"))}
+    grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t, _ in texts}
+    want = {(a, b): round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 6) for a, _, p in texts for b, _, q in texts if a < b and p == q and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
+    assert len(want) > 10 and got == want
