@@ -8,9 +8,9 @@ from ..plans.layer import Dialect, view
 
 @view("dedup_texts")
 def _(d: Dialect) -> str:
-    """The benchmark items and first turns, as short texts without placeholders."""
+    """The benchmark items and all turns, as short texts without placeholders."""
     strip = lambda x: f"trim({d.replace(d.replace(x, r'\[[A-Z_]+\]', ' '), r'\s+', ' ')})"
-    return f"SELECT 'b' || item_id::string AS item, lower({strip('text')}) AS body, 'benchmark' AS block FROM benchmark UNION ALL SELECT 'c' || conv_id::string || '-' || turn::string AS item, lower({strip('text')}) AS body, role AS block FROM conversations WHERE turn < 2"
+    return f"SELECT 'b' || item_id::string AS item, lower({strip('text')}) AS body, 'benchmark' AS block FROM benchmark UNION ALL SELECT 'c' || conv_id::string || '-' || turn::string AS item, lower({strip('text')}) AS body, role AS block FROM conversations"
 
 
 @view("shingles")

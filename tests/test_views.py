@@ -110,3 +110,8 @@ def test_near_pairs_by_brute_force(spark):
     grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t, _ in texts}
     want = {(a, b): round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 6) for a, _, p in texts for b, _, q in texts if a < b and p == q and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
     assert len(want) > 10 and got == want
+
+
+def test_dedup_texts_are_whole_tables(spark, sf_dir, con):
+    whole = con.execute("SELECT (SELECT count(*) FROM benchmark) + (SELECT count(*) FROM conversations)").fetchone()[0]
+    assert query("dedup_texts")(spark, sf_dir).count() == whole == con.execute(f"SELECT count(*) FROM ({oracle('dedup_texts')}) x").fetchone()[0]
