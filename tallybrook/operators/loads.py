@@ -71,7 +71,8 @@ def _(d: Dialect) -> str:
 
 @view("document_pending")
 def _(d: Dialect) -> str:
-    return "SELECT page_id, url FROM pages WHERE url IS NOT NULL AND upper(url) <> 'N/A' AND page_id % 3 <> 0"
+    """Pages with an address that weren't downloaded: without html."""
+    return "SELECT page_id, url FROM pages WHERE url IS NOT NULL AND upper(url) <> 'N/A' AND coalesce(trim(html), '') = ''"
 
 
 @view("api_freshness")

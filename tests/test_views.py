@@ -115,3 +115,12 @@ def test_near_pairs_by_brute_force(spark):
 def test_dedup_texts_are_whole_tables(spark, sf_dir, con):
     whole = con.execute("SELECT (SELECT count(*) FROM benchmark) + (SELECT count(*) FROM conversations)").fetchone()[0]
     assert query("dedup_texts")(spark, sf_dir).count() == whole == con.execute(f"SELECT count(*) FROM ({oracle('dedup_texts')}) x").fetchone()[0]
+
+
+def test_pending_documents_by_their_state(spark):
+    pages = spark.createDataFrame([(1, "a.org", None), (2, "b.org", ""), (3, "c.org", None), (4, "d.org", "<p>x</p>"), (5, "n/a", None), (6, None, None)], "page_id long, url string, html string")
+    pages.createOrReplaceTempView("pages")
+    try:
+        assert sorted(r["page_id"] for r in spark.sql(VIEWS["document_pending"](Dialect())).collect()) == [1, 2, 3]
+    finally:
+        spark.catalog.dropTempView("pages")
