@@ -57,6 +57,12 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(write(df, new_path(spark, name), **options))
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete what materialize() and new_path() left in the shared folder; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm

@@ -12,12 +12,21 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import column
 
 ROW = "part long, g long, kind int, blob binary"
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finisher."""
+    with np.errstate(over="ignore"):
+        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes; equal bytes of neighbouring values stand together."""
     out = []
@@ -79,5 +88,7 @@ class Numbers(dict):
 
 
 def dealt(df: DataFrame, parts: int, by: str) -> DataFrame:
-    """Rows of one value of `by` in one task, one after another, in the order of kind."""
-    return df.repartition(max(1, parts), by).sortWithinPartitions(by, "kind")
+    """Rows of one value of `by` in one task, one after another, in the order of kind. Parts, numbered from 0, get a task
+    each."""
+    whole = df.repartitionById(max(1, parts), F.col(by).cast("int")) if by == "part" else df.repartition(max(1, parts), by)
+    return whole.sortWithinPartitions(by, "kind")

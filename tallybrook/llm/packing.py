@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from .common import column, materialize, read
 from .exchange import ROW, rows_of
-from .tokens import BYTE_CHUNK, Encoded
+from .tokens import Encoded
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    encoded = Encoded(rows, size, tokenizer, BYTE_CHUNK, end_id)
+    encoded = Encoded(rows, size, tokenizer, end_id)
 
     def count(g: int, ids: list, _, ends: np.ndarray, __) -> Iterator[pa.RecordBatch]:
         full, rest = np.divmod(np.diff(ends, prepend=0), capacity)

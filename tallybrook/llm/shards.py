@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, read, write
 from .packing import tokenizer_path
-from .tokens import WORD_CHUNK, Encoded
+from .tokens import Encoded
 
 #: A shard holds a batch of documents, or so many of them.
 SHARD_DOCS = 20_000
@@ -125,7 +125,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    out = Encoded(rows, size, tokenizer, WORD_CHUNK, end_id).fill(shard, SCHEMA)
+    out = Encoded(rows, size, tokenizer, end_id).fill(shard, SCHEMA)
     return write(out, path, **WRITE)
 
 
@@ -152,17 +152,24 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndarray]:
-    """The ids of the documents with these keys (the first of each key; absent keys are left out): only shards whose key
-    range holds a key are read, and of these one slice a key."""
-    out: dict[int, np.ndarray] = {}
-    for key in keys:
-        at = key_hash(np.array([key], np.int64), np.array([False]), np.array([0]))
-        for row in spark.read.parquet(path).filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("lane", "shard").toLocalIterator():
-            number = int(find(s := row.asDict(), at)[0])
-            if number >= 0 and np.frombuffer(s["keys"], "<i8")[number] == key:
-                out[key] = ids_of(s, number)
-                break
-    return out
+    """The ids of the documents with these keys (of a repeated key the first document in the order; absent and null keys
+    are left out). Only shards whose key range holds a key are read; of each key one slice comes to the driver."""
+    wanted = np.unique(np.array([k for k in keys if k is not None], np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                s = b.slice(i, 1).to_pylist()[0]
+                own = wanted[(wanted >= s["first_key"]) & (wanted <= s["last_key"])]
+                number = find(s, key_hash(own, np.zeros(len(own), bool), np.zeros(len(own), np.int64)))
+                hit = (number >= 0) & (np.frombuffer(s["keys"], "<i8")[number] == own)
+                yield pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array([s["lane"]] * hit.sum(), pa.int64()), pa.array([s["shard"]] * hit.sum(), pa.int64()), pa.array([ids_of(s, x).astype("<u4").tobytes() for x in number[hit].tolist()], pa.binary())], names=["key", "lane", "shard", "ids"])
+
+    if not len(wanted):
+        return {}
+    near = spark.read.parquet(path).filter((F.col("first_key") <= int(wanted[-1])) & (F.col("last_key") >= int(wanted[0])))
+    found = near.mapInArrow(run, "key long, lane long, shard long, ids binary").groupBy("key").agg(F.min_by("ids", F.struct("lane", "shard")).alias("ids"))
+    return {r["key"]: np.frombuffer(r["ids"], "<u4") for r in found.collect()}  # at most one a key
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

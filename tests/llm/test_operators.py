@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,13 +181,26 @@ def tokenizer(name):
     return Tokenizer.from_file(packing.tokenizer_path(name))
 
 
-@pytest.mark.parametrize(("name", "chunk"), [("byte_bpe_50k.json", tokens.BYTE_CHUNK), ("word_bpe_49k.json", tokens.WORD_CHUNK)])
-def test_chunks_encode_like_whole_texts(name, chunk):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_encode_like_whole_texts(name):
     enc, model = tokens.encoder(packing.tokenizer_path(name)), tokenizer(name)
     rng = random.Random(9)
-    texts = [t or "" for _, t, *_ in AWKWARD] + ["".join(rng.choices(" \n\tab'sé1.,! \xa0日", k=60)) for _ in range(300)]
-    for t in texts:
-        assert b"".join(enc.many(tokens.chunks_of(t, chunk))) == enc.whole(t) == np.array(model.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+    texts = [t or "" for _, t, *_ in AWKWARD] + ["".join(rng.choices(" \n\tab'sé1.,! \xa0日", k=60)) for _ in range(300)] + ["".join(rng.choices("  \n\tab's1.,!?", k=40)) for _ in range(600)]
+    chunks, length = tokens.cut(pa.array(texts))
+    assert length.sum() == len(chunks)
+    at = 0
+    for t, n in zip(texts, length.tolist(), strict=True):
+        own = [c.decode() for c in chunks[at : at + n].to_pylist()]
+        at += n
+        assert "".join(own) == t
+        assert b"".join(enc.many(own)) == enc.whole(t) == np.array(model.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+
+
+def test_cutting_in_slices_and_nulls():
+    texts = pa.array(["skipped", None, "", "a b.", "\x1c x", None, "c"]).slice(1)
+    chunks, length = tokens.cut(texts)
+    assert length.tolist() == [0, 0, 3, 1, 0, 1] and chunks.to_pylist() == [b"a", b" b", b".", b"\x1c x", b"c"]
+    assert tokens.cut(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
 
 
 def check_packing(rows, pieces, capacity):
