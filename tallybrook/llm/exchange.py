@@ -79,16 +79,19 @@ def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list
         yield now, held
 
 
-class Numbers(dict):
-    """Numbers for keys in the order of their first use."""
+def split(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of an ascending array."""
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return list(zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=False))
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+
+#: Tasks of an exchange at most; a task takes its parts one after another, so that this bounds no memory.
+TASKS = 20_000
 
 
 def dealt(df: DataFrame, parts: int, by: str) -> DataFrame:
-    """Rows of one value of `by` in one task, one after another, in the order of kind. Parts, numbered from 0, get a task
-    each."""
-    whole = df.repartitionById(max(1, parts), F.col(by).cast("int")) if by == "part" else df.repartition(max(1, parts), by)
+    """Rows of one value of `by` in one task, one after another, in the order of kind. Parts, numbered from 0, are dealt
+    evenly."""
+    n = min(max(1, parts), TASKS)
+    whole = df.repartitionById(n, (F.col(by) % n).cast("int")) if by == "part" else df.repartition(n, by)
     return whole.sortWithinPartitions(by, "kind")

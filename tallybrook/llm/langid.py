@@ -1,41 +1,66 @@
 """Operator 8, language ID by cross-parsing entropy.
 
-Per language a suffix automaton is built of labelled text. A text is parsed with each: from a place the longest match in
-the language's text is one phrase, and the next phrase starts after it. The language needing the fewest phrases per
-character wins. Parsing goes word by word, with a mark at both ends of a word, so a phrase never spans words and a word's
-phrase counts are the same wherever it stands: each distinct word is parsed once per worker.
+Per language a suffix automaton is built of labelled text. A text is parsed with each, whole and with one state from its
+first to its last byte: the longest match in the language's text is one phrase, and the next phrase starts after it. A
+phrase costs as many bits as a place in the language's text, so that languages with more text have no advantage: the
+language whose phrases take the fewest bits a byte wins (the cross-parsing estimate of the cross-entropy).
+
+Texts are lower-cased UTF-8 in which everything in ASCII but letters is white space, and a run of it one blank. Automata
+are tables, and the texts of a batch are parsed side by side, a byte of each at a time.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column, crc_mod, read
+from .common import crc_mod, read
+from .words import flat, slices
 
-#: Runs of letters; digits and signs tell nothing of a language.
-LETTERS = re.compile(r"[^\W\d_]+")
-#: The mark at both ends of a word.
-EDGE = "\n"
-#: Words that a worker's cache holds.
-CACHE = 400_000
+LETTERS = re.compile(r"[^\W\d_]")
+BLANK = 32
+#: Bytes of text that are parsed together; bytes of automata that a worker holds at once.
+BATCH, TABLES = 8 << 20, 160 << 20
+#: Texts that are parsed side by side; fewer than this, and each goes on alone.
+LANES = 24
 #: Phrases beyond the limit that a text may take: a few words don't tell noise from a rare name.
 SLACK = 10
 
-
-def suffix_automaton(text: str) -> dict[int, int]:
-    """Transitions of the suffix automaton of text: state << 21 | character -> state; 0 is the start."""
+_FLAT = np.full(256, BLANK, np.uint8)
+_FLAT[97:123] = np.arange(97, 123)
+_FLAT[128:] = np.arange(128, 256)
+
+
+def plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the texts as they are parsed: bytes[start:end], with a blank at both ends. Neighbours share
+    a blank; a text without letters is at most a blank."""
+    edges, data = flat(pc.utf8_lower(texts.fill_null("")))
+    places = edges + np.arange(len(edges))  # of the blanks between texts
+    whole = np.full(len(data) + len(edges), BLANK, np.uint8)
+    inner = np.ones(len(whole), bool)
+    inner[places] = False
+    whole[inner] = _FLAT[data]
+    keep = whole != BLANK
+    keep[1:] |= whole[:-1] != BLANK
+    keep[0] = True
+    at = np.cumsum(keep)[places] - 1
+    return whole[keep], at[:-1], at[1:] + 1
+
+
+def suffix_automaton(text: bytes) -> dict[int, int]:
+    """Transitions of the suffix automaton of text: state << 8 | byte -> state; 0 is the start, which none leads to."""
     link, length, step = [-1], [0], [{}]
     last = 0
-    for c in map(ord, text):
+    for c in text:
         cur = len(step)
         step.append({})
         length.append(length[last] + 1)
@@ -58,14 +83,14 @@ def suffix_automaton(text: str) -> dict[int, int]:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return {s << 21 | c: t for s, row in enumerate(step) for c, t in row.items()}
+    return {s << 8 | c: t for s, row in enumerate(step) for c, t in row.items()}
 
 
-def phrases(automaton: dict[int, int], text: str) -> int:
-    """Longest-match phrases that text takes; a character that never occurs is a phrase of its own."""
+def phrases(automaton: dict[int, int], text: bytes) -> int:
+    """Longest-match phrases that text takes; a byte that never occurs is a phrase of its own."""
     n, state, get = 0, 0, automaton.get
-    for c in map(ord, text):
-        to = get(state << 21 | c, 0)
+    for c in text:
+        to = get(state << 8 | c, 0)
         if not to:
             n += state > 0  # the phrase so far ends
             to = get(c, 0)
@@ -74,88 +99,156 @@ def phrases(automaton: dict[int, int], text: str) -> int:
     return n + (state > 0)
 
 
-def rate_limit(text: str) -> float:
-    """Phrases a character above which a text is noise to the language of text: as many as the last quarter of text's
-    words take with their letters shuffled, parsed with the rest."""
-    words = text.split(EDGE)
+def rate_limit(text: bytes) -> float:
+    """Phrases a byte above which a text is noise to the language of text: as many as the last quarter of text's words
+    take with their letters shuffled, parsed with the rest."""
+    words = text.split()
     cut = len(words) * 3 // 4
-    automaton, rng = suffix_automaton(EDGE.join(words[:cut]) + EDGE), random.Random(42)
-    held = ["".join(rng.sample(w, len(w))) for w in words[cut:] if w]
-    size = sum(len(w) + 1 for w in held)
-    return sum(phrases(automaton, EDGE + w + EDGE) for w in held) / size if size else 1.0
+    rng = random.Random(42)
+    held = [w.decode("utf-8", "replace") for w in words[cut:]]
+    noise = " ".join(["", *("".join(rng.sample(w, len(w))) for w in held), ""]).encode()
+    return phrases(suffix_automaton(b" ".join([b"", *words[:cut], b""])), noise) / len(noise) if held else 1.0
+
+
+class Table:
+    """An automaton as arrays: its transitions, and made of them the next state and what it costs for each state and
+    symbol, as next state * symbols << 2 | phrases that end."""
+
+    def __init__(self, text: bytes) -> None:
+        steps = suffix_automaton(text)
+        key, self.to = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32)
+        self.of, self.byte = (key >> 8).astype(np.int32), (key & 255).astype(np.uint8)
+        self.states, self.bits = int(self.to.max(initial=0)) + 1, math.log2(max(2, len(text)))
+        self.symbol = np.zeros(256, np.uint8)  # 0: a byte that never occurs
+        used = np.unique(self.byte)
+        self.symbol[used] = np.arange(1, len(used) + 1)
+        self.symbols = len(used) + 1
+
+    def size(self) -> int:
+        return 8 * self.states * self.symbols
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.states, self.symbols), np.int64)
+        start = self.of == 0
+        first = np.zeros(self.symbols, np.int64)
+        first[self.symbol[self.byte[start]]] = self.to[start]
+        alone = first == 0
+        out[0] = first * self.symbols << 2 | alone
+        out[1:] = first * self.symbols << 2 | (1 + alone)
+        out[self.of, self.symbol[self.byte]] = self.to.astype(np.int64) * self.symbols << 2
+        return out.ravel()
 
 
 class Model:
-    """automata: per language; built on the driver from a bounded sample. limits: per language, see rate_limit()."""
+    """tables: per language, built on the driver from a bounded sample. limits: per language, see rate_limit()."""
 
-    def __init__(self, texts: dict[str, str]) -> None:
+    def __init__(self, texts: dict[str, bytes]) -> None:
         self.langs = sorted(texts)
-        self.automata = [suffix_automaton(texts[x]) for x in self.langs]
-        self.limits = [rate_limit(texts[x]) for x in self.langs]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.tables = [Table(texts[x]) for x in self.langs]
+        self.limits = np.array([rate_limit(texts[x]) for x in self.langs])
+        self.held: dict[int, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
-
-    def word(self, w: str) -> tuple[int, ...]:
-        marked = EDGE + w + EDGE
-        return tuple(phrases(a, marked) for a in self.automata)
-
-    def parse(self, text: str | None) -> tuple[str, float, float, int]:
-        """(language, score, phrases beyond the language's limit, characters); und and zeros without a letter or a learned
-        language."""
-        words = Counter(LETTERS.findall(text.lower())) if text else {}
-        if not words or not self.langs:
-            return "und", 0.0, 0.0, 0
-        cache, total, size = self.cache, [0] * len(self.langs), 0
-        for w, n in words.items():
-            got = cache.get(w)
-            if got is None:
-                got = self.word(w)
-                if len(w) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = got
-            size += n * (len(w) + 1)
-            for i, k in enumerate(got):
-                total[i] += n * k
-        rate = np.array(total) / size
-        best = int(rate.argmin())
-        odds = np.exp2(-100 * (rate - rate[best]))
-        return self.langs[best], float(1 / odds.sum()), total[best] - self.limits[best] * size, size
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): und and 0 without a letter or a learned language. score: the chance of the winner where a
-        phrase more per hundred characters halves a language's odds, at most 1."""
-        return self.parse(text)[:2]
-
-    def told(self, text: str | None, score: float = 0.0) -> str | None:
-        """The language, if it is told with at least `score` and the text isn't noise to it; else None."""
-        lang, sure, beyond, size = self.parse(text)
-        return lang if size and sure >= score and beyond <= SLACK else None
-
-
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, chars: int, longest: int) -> dict[str, str]:
-    """Per language the words of labelled rows in the order of a hash, up to `chars` characters; rows over `longest`
-    characters aren't learned from. At most chars + longest characters a language reach the driver."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), train.alias("train"))
-    rows = rows.filter(F.col("train") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= longest)).select("id", "text", "lang")
-    few = max(8, chars // 50)  # rows of under 50 characters don't fill the bound
-    by = Window.partitionBy("lang").orderBy("h", "id", "n")
-    light = rows.select("lang", "id", F.xxhash64("id", "text").alias("h"), F.length("text").alias("n")).withColumn("k", F.row_number().over(by)).filter(F.col("k") <= min(few, 1000))
-    light = light.withColumn("before", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) < chars)
-    chosen = light.select("lang", "h", "k")
-    got = rows.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(chosen.select("lang", "h").distinct()), ["lang", "h"]).select("lang", "h", "text").distinct()
+        return self.__dict__ | {"held": {}}
+
+    def dense(self, i: int) -> np.ndarray:
+        if i not in self.held:
+            if sum(self.tables[k].size() for k in (*self.held, i)) > TABLES:
+                self.held.clear()
+            self.held[i] = self.tables[i].dense()
+        return self.held[i]
+
+    def count(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Phrases of each text (rows) in each language (columns)."""
+        out = np.zeros((len(start), len(self.langs)), np.int64)
+        order = np.argsort(start - end, kind="stable")  # the longest first
+        begin, size = start[order].astype(np.int64), (end - start)[order].astype(np.int64)
+        longest = int(size.max(initial=0))
+        active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # texts of at least so many bytes
+        together = int(np.searchsorted(-active, -LANES, "right"))  # steps with enough texts
+        for i, t in enumerate(self.tables):
+            steps, symbols = self.dense(i), t.symbol[data].astype(np.int64)
+            state, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            for block in range(0, together, 256):
+                width = min(256, together - block)
+                k = active[block]
+                now = symbols[np.minimum(begin[:k] + block + np.arange(width)[:, None], len(symbols) - 1)]
+                for j in range(width):
+                    k = active[block + j]
+                    got = steps[state[:k] + now[j, :k]]
+                    n[:k] += got & 3
+                    np.right_shift(got, 2, out=state[:k])
+            view = memoryview(steps)
+            for k in range(int(active[together]) if together < longest else 0):
+                at, found = int(state[k]), 0
+                for c in symbols[begin[k] + together : begin[k] + size[k]].tolist():
+                    got = view[at + c]
+                    found += got & 3
+                    at = got >> 2
+                state[k] = at
+                n[k] += found
+            out[order, i] = n + (state > 0)
+        return out
+
+    def parse(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(languages, scores, phrases beyond the languages' limits, bytes) of texts; und and zeros without a letter or a
+        learned language."""
+        data, start, end = plain(texts)
+        if not self.langs or not len(start):
+            return ["und"] * len(start), np.zeros(len(start)), np.zeros(len(start)), np.zeros(len(start), np.int64)
+        plainly = np.append(0, np.cumsum((data >= 97) & (data < 123)))
+        letter = plainly[end] > plainly[start]
+        for i in np.flatnonzero(~letter & (end - start > 1)).tolist():
+            letter[i] = LETTERS.search(texts[i].as_py()) is not None
+        found, size = self.count(data, start, np.where(letter, end, start)), np.maximum(1, end - start)
+        rate = found * np.array([t.bits for t in self.tables]) / size[:, None]
+        best = rate.argmin(1)
+        each = np.arange(len(best))
+        odds = np.exp2(-6 * (rate - rate[each, best][:, None]))
+        names = [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
+        return names, np.where(letter, 1 / odds.sum(1), 0), np.where(letter, found[each, best] - self.limits[best] * size, 0), np.where(letter, size, 0)
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(languages, scores): und and 0 without a letter or a learned language. score: the chance of the winner where a
+        sixth of a bit a byte more halves a language's odds, at most 1."""
+        return self.parse(texts)[:2]
+
+    def told(self, texts: pa.Array, score: float = 0.0) -> list[str | None]:
+        """The languages that are told with at least `score` and to which the text isn't noise; else None."""
+        names, sure, beyond, size = self.parse(texts)
+        return [x if n and p >= score and b <= SLACK else None for x, p, b, n in zip(names, sure.tolist(), beyond.tolist(), size.tolist(), strict=True)]
+
+
+def sample(docs: DataFrame, text_col: str, lang_col: str, train, chars: int, longest: int, languages: int) -> dict[str, bytes]:
+    """Per language, for the `languages` most frequent, distinct labelled texts in the order of a hash, up to `chars`
+    characters; of a text over `longest` characters so many from a hashed place, and only where the shorter ones don't
+    fill the bound. At most chars + longest characters a language reach the driver."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), train.alias("train"))
+    rows = rows.filter(F.col("train") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.length("text")})
+    size = F.least("n", F.lit(longest))
+    found = rows.groupBy("lang").agg(F.count("*").alias("k"), F.sum(size).alias("all")).orderBy(F.desc("k"), "lang").limit(languages)
+    # about eight times what is wanted of each language, whatever the table's size, for one task
+    light = rows.drop("text").join(F.broadcast(found), "lang").filter(F.pmod("h", F.lit(1 << 40)) * F.col("all") < F.lit(float(8 * (chars + longest)) * (1 << 40)))
+    by = Window.partitionBy("lang").orderBy(F.col("n") > longest, "h")
+    light = light.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("before", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    chosen = light.filter(F.coalesce("before", F.lit(0)) < chars).select("lang", "h")
+    piece = F.when(F.col("n") > longest, F.substr("text", (F.lit(1) + F.pmod("h", F.col("n") - longest)).cast("int"), F.lit(longest))).otherwise(F.col("text"))
+    got = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", (F.col("n") > longest).alias("long"), piece.alias("text")).distinct()
     texts: dict[str, list] = {}
-    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["long"], r["h"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return {k: EDGE + EDGE.join(LETTERS.findall(" ".join(v).lower())) + EDGE for k, v in texts.items()}
+    out = {}
+    for k, v in texts.items():
+        data, start, end = plain(pa.array([" ".join(v)]))
+        out[k] = data[start[0] : end[0]].tobytes()
+    return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train=None, chars: int = 60_000, longest: int = 20_000) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", train=None, chars: int = 60_000, longest: int = 20_000, languages: int = 256) -> Model:
     """Learn from rows of docs where `train` (a column; default: all) holds; see sample(). A language is a value of
     lang_col; null isn't one."""
-    return Model(sample(docs, id_col, text_col, lang_col, F.lit(True) if train is None else train, chars, longest))
+    return Model(sample(docs, text_col, lang_col, F.lit(True) if train is None else train, chars, longest, languages))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -170,9 +263,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
-            got = [m.predict(x.as_py()) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+        for b in slices(batches, BATCH):
+            names, sure = m.predict(b.column(at).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
 
@@ -187,8 +280,8 @@ def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b in batches:
-            got = [m.told(x.as_py(), score) for x in b.column(1)]
+        for b in slices(batches, BATCH):
+            got = m.told(b.column(1), score)
             yield b.filter(pa.array([x is not None and (wanted is None or x in wanted) for x in got], pa.bool_()))
 
     return marked.mapInArrow(run, marked.schema).select("row.*")

@@ -10,10 +10,10 @@ d(c) is the Good-Turing discounted count for c up to K; above, a count loses the
 to, so that every context leaves mass for what it wasn't seen with. One unit of p is for unknown words.
 
 The corpus moves in columns, not rows: a task turns its documents into arrays of word numbers, and tasks exchange
-compressed arrays, so a token costs a few bytes and a few numpy operations. A task's documents are cut into batches, in
-the same way each time they are read (an answer that doesn't fit its batch is an error). Tables, each partitioned and
-written in the shared folder:
+compressed arrays, so a token costs a few bytes and a few numpy operations. The documents are read and cut into batches
+once. Tables, each partitioned and written in the shared folder:
 
+    batches   the documents as word numbers, and per batch its words' hashes and counts
     words     per batch, its words' training counts and numbers, as told by the partition of the word's hash
     answers   per batch, the pair counts of its tokens and what the contexts' backoff weights are made of, as told by the
               partition of the context (of the pair, for contexts so frequent that one task shouldn't hold them)
@@ -22,107 +22,71 @@ written in the shared folder:
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, column, crc_mod, fold, materialize, new_path, read, texts, write
-from .exchange import ROW, Numbers, dealt, emit, pack, runs, unpack
+from .common import column, crc_mod, drop, materialize, new_path, read, write
+from .exchange import ROW, dealt, emit, mix, pack, runs, split, unpack
+from .words import hashes, numbers, slices, words
 
-#: Tokens of a batch and of a partition of pairs; bytes of text for each partition of words; counts that are discounted
-#: one by one.
-BATCH, PAIRS, WORDS, K = 2_000_000, 2_000_000, 60_000_000, 5
+#: Bytes of text of a batch, tokens for each partition of pairs, bytes of text for each partition of words, and counts
+#: that are discounted one by one.
+BATCH, PAIRS, WORDS, K = 10 << 20, 2_000_000, 60_000_000, 5
 #: At most so many contexts are frequent: those that hold over this share of the training tokens.
 FREQUENT = 65_536
-END_HASH, START = np.uint64(1), np.uint64((1 << 41) - 1)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """doc_id, text, train -> batches (g, arrays): ids, which are null, which train, tokens of each document, all tokens as
-    word numbers, the words' hashes, the words' training counts. Word 0 is the end."""
-    lane, count = TaskContext.get().partitionId(), 0
-    find = re.compile(WORD).findall
-
-    def close() -> tuple[int, list[np.ndarray]]:
-        words = np.array([END_HASH, *(xxhash.xxh64_intdigest(w) for w in list(numbers)[1:])], np.uint64)
-        stream, length = np.concatenate(tokens), np.array([len(t) for t in tokens], np.uint32)
-        own = np.bincount(stream, weights=np.repeat(np.array(train, float), length), minlength=len(words)).astype(np.uint32)
-        null = np.array([i is None for i in ids], np.uint8)
-        return lane << 20 | count, [np.array([i or 0 for i in ids], np.int64), null, np.array(train, np.uint8), length, stream, words, own]
-
-    ids, train, tokens, size, numbers = [], [], [], 0, Numbers({"": 0})
-    for b in batches:
-        for doc_id, learn, text in zip(column(b, "doc_id"), column(b, "train"), texts(b), strict=True):
-            found = find(fold(text))
-            got = np.zeros(len(found) + 1, np.uint32)
-            got[:-1] = np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))
-            ids.append(doc_id)
-            train.append(bool(learn))
-            tokens.append(got)
-            size += len(got)
-            if size >= BATCH:
-                yield close()
-                ids, train, tokens, size, numbers, count = [], [], [], 0, Numbers({"": 0}), count + 1
-    if ids:
-        yield close()
-
-
-def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by part and hash, start of each part in it); the part is the hash's share of the range."""
-    order = np.argsort(hashes, kind="stable")
-    part = (hashes[order] >> np.uint64(44)).astype(np.int64) * parts >> 20
-    return order, np.searchsorted(part, np.arange(parts + 1))
+#: A word's code is its count's class above so many bits, and below them its number; the last number is a text's start.
+NUMBER = 40
+END_HASH, START = np.uint64(1), np.uint64((1 << NUMBER) - 1)
 
 
 def _ask_words(parts: int):
-    """Kind 0: a batch's words and counts to their parts. Kind 3: how many tokens a batch has."""
+    """doc_id, text, train -> kind 4: a batch's documents: ids, which are null, which train, tokens of each, all tokens as
+    word numbers, and each word's place among the answers. Kind 0: the words' hashes and training counts, to their parts.
+    Kind 3: how many tokens a batch has. Word 0 is the end."""
+
+    def one(g: int, b: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+        ids, train = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+        found, length = words(b.column(2))
+        hashed = np.append(END_HASH, hashes(found.dictionary))
+        stream = np.insert(numbers(found).astype(np.uint32) + np.uint32(1), np.cumsum(length), 0)
+        length = length + 1
+        own = np.bincount(stream, weights=np.repeat(train, length), minlength=len(hashed)).astype(np.uint32)
+        part = (hashed % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        yield 0, g, 4, pack(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), train, length.astype(np.uint32), stream, place)
+        for p, start, end in split(part[order]):
+            yield p, g, 0, pack(hashed[order[start:end]], own[order[start:end]])
+        yield 0, g, 3, pack(np.array([len(stream)]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-        for g, (_, _, _, _, stream, words, own) in _batches(batches):
-            order, start = _by_part(words, parts)
-            for p in range(parts):
-                at = order[start[p] : start[p + 1]]
-                if len(at):
-                    yield p, g, 0, pack(words[at], own[at])
-            yield 0, g, 3, pack(np.array([len(stream)]))
+        lane = TaskContext.get().partitionId()
+        for count, b in enumerate(slices(batches, BATCH)):
+            yield from one(lane << 20 | count, b)
 
     return lambda batches: emit(rows(batches))
 
 
-def _send_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from emit((0, g, 0, pack(*arrays[:6])) for g, arrays in _batches(batches))
-
-
 def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 1: per batch the counts and numbers of its words. Kind 2: the distinct counts, and N and V, of the
-    partition. Kind 3 passes."""
+    partition."""
 
     def rows() -> Iterator[tuple[int, int, int, bytes]]:
         for part, held in runs(batches, "part"):
-            yield from (r for r in held if r[2] == 3)
-            asked = [(g, *unpack(blob)) for _, g, kind, blob in held if kind == 0]
-            if not asked:
-                continue
-            words, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate([a[2] for a in asked]), minlength=len(words)).astype(np.uint64)
+            asked = [(g, *unpack(blob)) for _, g, _, blob in held]
+            known, back = np.unique(np.concatenate([a[1] for a in asked]), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([a[2] for a in asked]), minlength=len(known)).astype(np.uint64)
             at = 0
             for g, own, _ in asked:
                 now = back[at : at + len(own)]
                 at += len(own)
-                yield part, g, 1, pack(total[now], now.astype(np.uint32), np.bitwise_xor.reduce(own, keepdims=True))
+                yield part, g, 1, pack(total[now], now.astype(np.uint32))
             yield part, 0, 2, pack(np.unique(total), np.array([total.sum(), (total > 0).sum()], np.uint64))
 
     yield from emit(rows())
@@ -135,9 +99,17 @@ class Corpus:
     def __init__(self, word_parts: int, classes: np.ndarray, n: int, v: int, docs: int) -> None:
         self.word_parts, self.pair_parts, self.classes, self.n, self.v, self.docs = word_parts, 1, classes, n, v, docs
         self.frequent = n // FREQUENT
+        if len(classes) > 1 << (64 - NUMBER):
+            raise ValueError("more distinct counts than a word's code holds")
 
     def count(self, code: np.ndarray) -> np.ndarray:
-        return self.classes[(code >> np.uint64(41)).astype(np.int64)]
+        return self.classes[(code >> np.uint64(NUMBER)).astype(np.int64)]
+
+    def code(self, total: np.ndarray, part: int, number: np.ndarray) -> np.ndarray:
+        """The codes of words by their training counts, part and number in the part: different for different words."""
+        if len(number) and int(number.max()) * self.word_parts + part >= int(START):
+            raise ValueError("more distinct words than a word's code holds")
+        return np.searchsorted(self.classes, total).astype(np.uint64) << np.uint64(NUMBER) | number.astype(np.uint64) * np.uint64(self.word_parts) + np.uint64(part)
 
 
 def _ask_pairs(corpus: Corpus):
@@ -145,24 +117,16 @@ def _ask_pairs(corpus: Corpus):
 
     def one(held: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
         g = held[0][1]
-        ids, null, train, length, stream, words = unpack(next(r[3] for r in held if r[2] == 0))
-        order, start = _by_part(words, corpus.word_parts)
-        code = np.zeros(len(words) + 1, np.uint64)  # class of the count, then part and number: tells the word and its count
-        for part, _, kind, blob in held:
-            if kind == 1:
-                total, number, check = unpack(blob)
-                at = order[start[part] : start[part + 1]]
-                if len(at) != len(total) or np.bitwise_xor.reduce(words[at]) != check[0]:
-                    raise ValueError("the documents were not read in the same order again")
-                code[at] = np.searchsorted(corpus.classes, total).astype(np.uint64) << np.uint64(41) | np.uint64(part << 28) | number
-        code[-1] = np.uint64(np.searchsorted(corpus.classes, corpus.docs)) << np.uint64(41) | START
+        ids, null, train, length, stream, place = unpack(next(r[3] for r in held if r[2] == 4))
+        told = [corpus.code(*unpack(blob)[:1], part, unpack(blob)[1]) for part, _, kind, blob in sorted(held, key=lambda r: r[0]) if kind == 1]
+        code = np.append(np.concatenate(told)[place], np.uint64(np.searchsorted(corpus.classes, corpus.docs)) << np.uint64(NUMBER) | START)
         count = corpus.count(code).astype(float)
         first = np.zeros(len(stream), bool)
         first[np.cumsum(length)[:-1]] = True
         first[:1] = True
         context = np.empty(len(stream), np.int64)
         context[1:] = stream[:-1]
-        context[first] = len(words)
+        context[first] = len(place)
         doc = np.repeat(np.arange(len(length), dtype=np.uint32), length)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(length))
         c, ch = count[stream], count[context]
@@ -177,13 +141,11 @@ def _ask_pairs(corpus: Corpus):
         pair = rank[context] << bits | rank[stream]
         order = np.argsort(pair, kind="stable")
         order = order[np.argsort(part[order], kind="stable")]
-        cut = np.searchsorted(part[order], np.arange(corpus.pair_parts + 1, dtype=np.uint64))
         mark = doc << np.uint32(1) | np.repeat(train, length)
-        for p in range(corpus.pair_parts):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at):
-                h, n = np.unique(rank[context[at]], return_counts=True)
-                yield p, g, 1, pack(code[by][h.astype(np.int64)], n.astype(np.uint32), code[stream[at]], mark[at])
+        for p, begin, end in split(part[order]):
+            at = order[begin:end]
+            h, n = np.unique(rank[context[at]], return_counts=True)
+            yield p, g, 1, pack(code[by][h.astype(np.int64)], n.astype(np.uint32), code[stream[at]], mark[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(r for _, held in runs(batches, "g") for r in one(held))
@@ -297,16 +259,20 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     word_parts = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORDS + 1
-    words = materialize(dealt(rows.mapInArrow(_ask_words(word_parts), ROW), word_parts, "part").mapInArrow(_answer_words, ROW), "words", compression="uncompressed")
-    told = words.filter("kind = 2").mapInArrow(_numbers, "what int, value long, times long").groupBy("what", "value").agg(F.sum("times").alias("times")).collect()  # at most the distinct counts
+    where = write(rows.mapInArrow(_ask_words(word_parts), ROW), new_path(spark, "batches"), ("kind",), compression="uncompressed")
+    batches = spark.read.schema(ROW).parquet(where)
+    answered = materialize(dealt(batches.filter("kind = 0"), word_parts, "part").mapInArrow(_answer_words, ROW), "words", compression="uncompressed")
+    drop(spark, f"{where}/kind=0")
+    batches = spark.read.schema(ROW).parquet(where)
+    told = answered.filter("kind = 2").mapInArrow(_numbers, "what int, value long, times long").groupBy("what", "value").agg(F.sum("times").alias("times")).collect()  # at most the distinct counts
     totals = {w: sum(r["value"] * r["times"] for r in told if r["what"] == w) for w in (1, 2)}
     n_docs = rows.filter("train").count()
     classes = np.unique(np.array([0, n_docs, *(r["value"] for r in told if r["what"] == 0)], np.uint64))
     corpus = Corpus(word_parts, classes, totals[1], totals[2], n_docs)
-    sizes = words.filter("kind = 3").mapInArrow(_sizes, "tokens long").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    sizes = batches.filter("kind = 3").mapInArrow(_sizes, "tokens long").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
     corpus.pair_parts = (sizes["tokens"] or 0) // PAIRS + 1
 
-    both = rows.mapInArrow(_send_batches, ROW).unionByName(words.filter("kind = 1"))
+    both = batches.filter("kind = 4").unionByName(answered.filter("kind = 1"))
     asked = dealt(both, sizes["n"], "g").mapInArrow(_ask_pairs(corpus), ROW)
     got = dealt(asked, corpus.pair_parts, "part").mapInArrow(_answer_pairs(corpus), ROW)
     answers = spark.read.schema(ROW).parquet(write(got, new_path(spark, "answers"), ("kind",), compression="uncompressed"))

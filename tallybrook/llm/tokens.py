@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import drop, materialize, new_path, write
-from .exchange import ROW, dealt, emit, mix, pack, runs, unpack
+from .exchange import ROW, dealt, emit, mix, pack, runs, split, unpack
+from .words import flat, slices
 
 #: Unicode White_Space.
 SPACE = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -62,15 +63,12 @@ def chunk_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """(all chunks of the texts one after another, how many each text has). A text's ids are those of its chunks."""
-    raw = texts.fill_null("").cast(pa.binary())
-    edges = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
-    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
-    edges = edges - edges[0]
+    edges, data = flat(texts)
     if not len(data):
-        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(raw), np.int64)
+        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(texts), np.int64)
     start = chunk_starts(data, edges[1:])
     for i in np.flatnonzero(pc.match_substring_regex(texts.fill_null(""), SPECIAL).to_numpy(zero_copy_only=False)).tolist():
-        text = raw[i].as_py().decode("utf-8", "replace")
+        text = data[edges[i] : edges[i + 1]].tobytes().decode("utf-8", "replace")
         own = start[edges[i] : edges[i + 1]]
         own[:] = False
         own[0] = True
@@ -81,10 +79,6 @@ def cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return chunks.dictionary_encode(), np.diff(np.searchsorted(at, edges))
 
 
-#: Rows of an Arrow batch that are looked at at once; bounds memory.
-ROWS = 64
-
-
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,12 +105,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _bytes(items: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary values as their ends, a zero before, and the bytes."""
-    edges = np.frombuffer(items.buffers()[1], np.int32, len(items) + 1, items.offset * 4)
-    return edges - edges[0], np.frombuffer(items.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
-
-
 def _hash(edges: np.ndarray, data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each value, none of which is empty."""
     size = np.diff(edges)
@@ -136,32 +124,23 @@ def gather(values: np.ndarray, edges: np.ndarray, which: np.ndarray) -> np.ndarr
 def _ask(parts: int):
     """doc_id, text -> kind 0: a batch's documents as chunk numbers; kind 1: its distinct chunks, to their parts."""
 
-    def one(g: int, held: list[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-        ids = pa.concat_arrays([b.column(0) for b in held])
-        chunks, length = cut(pa.concat_arrays([b.column(1) for b in held]))
-        edges, data = _bytes(chunks.dictionary)
+    def one(g: int, b: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+        ids = b.column(0)
+        chunks, length = cut(b.column(1))
+        edges, data = flat(chunks.dictionary)
         part = (_hash(edges, data) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         place = np.empty(len(order), np.uint32)  # answers come part by part
         place[order] = np.arange(len(order), dtype=np.uint32)
         yield 0, g, 0, pack(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), length.astype(np.uint32), place[chunks.indices.to_numpy(zero_copy_only=False)] if len(order) else np.zeros(0, np.uint32))
-        start = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(start)).tolist():
-            own = order[start[p] : start[p + 1]]
+        for p, begin, end in split(part[order]):
+            own = order[begin:end]
             yield p, g, 1, pack(np.diff(edges)[own].astype(np.uint32), gather(data, edges, own))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-        lane, count, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                held.append(b)
-                size += b.get_total_buffer_size() if b.num_rows == whole.num_rows else b.nbytes
-                if size >= BATCH:
-                    yield from one(lane << 20 | count, held)
-                    held, size, count = [], 0, count + 1
-        if held:
-            yield from one(lane << 20 | count, held)
+        lane = TaskContext.get().partitionId()
+        for count, b in enumerate(slices(batches, BATCH)):
+            yield from one(lane << 20 | count, b)
 
     return lambda batches: emit(rows(batches))
 

@@ -368,7 +368,30 @@ def test_suffix_automaton_parses_by_longest_match():
                 size += 1
             at += max(size, 1)
             n += 1
-        assert langid.phrases(langid.suffix_automaton(corpus), text) == n
+        assert langid.phrases(langid.suffix_automaton(corpus.encode()), text.encode()) == n
+
+
+def test_texts_are_parsed_whole_and_side_by_side():
+    rng = random.Random(7)
+    draw = lambda n, a: "".join(rng.choices(a, k=n))
+    learned = {"x": draw(3000, "abcd e"), "y": draw(500, "abéf ")}
+    texts = [None, "", " .", "12", "é", "ABC d", *(draw(rng.randrange(1, 400), "abcdEF é1.\n日") for _ in range(80)), draw(9000, "abcde ")]
+    model = langid.Model({k: langid.plain(pa.array([v]))[0].tobytes() for k, v in learned.items()})
+    flat = lambda t: re.sub(rb" +", b" ", b" " + re.sub(rb"[^a-z\x80-\xff]", b" ", (t or "").lower().encode()) + b" ")
+    automata = [langid.suffix_automaton(langid.plain(pa.array([learned[k]]))[0].tobytes()) for k in model.langs]
+    data, start, end = langid.plain(pa.array(texts))
+    assert [data[a:b].tobytes() for a, b in zip(start, end, strict=True)] == [flat(t) for t in texts]
+    got = model.count(data, start, end)
+    assert got.tolist() == [[langid.phrases(a, flat(t)) for a in automata] for t in texts]
+    names, score = model.predict(pa.array(texts))
+    assert names[:4] == ["und"] * 4 and "und" not in names[4:] and ((score[4:] > 0) & (score[4:] <= 1)).all()
+
+
+def test_long_rows_are_learned_from_where_there_are_no_others(spark):
+    rows = spark.createDataFrame([(1, "lang one " * 9000, "a"), (2, "short text", "b"), (3, "long text " * 9000, "b"), (4, "short text", "b"), (5, "x", None)], "doc_id long, text string, lang string")
+    got = langid.sample(rows, "text", "lang", F.lit(True), 2000, 1000, 9)
+    assert set(got) == {"a", "b"} and 900 < len(got["a"]) <= 1002 and b"short text" in got["b"] and len(got["b"]) <= 1020
+    assert set(langid.sample(rows, "text", "lang", F.lit(True), 2000, 1000, 1)) == {"b"}
 
 
 def test_language_held_out(spark, documents):
@@ -451,7 +474,7 @@ def brute_lm(rows):
         mass[h] += left[c]
         known[h] += p(w)
     alpha = {h: (1 - mass[h] / context[h]) / (1 - known[h]) for h in context}
-    for h in context:  # all probabilities after a context sum to one, the unknown word's with them
+    for h in random.Random(0).sample(list(context), min(300, len(context))):  # all probabilities after a context sum to one, the unknown word's with them
         total = sum(left[pair[h, w]] / context[h] if pair[h, w] else alpha[h] * p(w) for w in uni) + alpha[h] / (n + v + 1)
         assert math.isclose(total, 1, rel_tol=1e-9)
     out = []
@@ -482,6 +505,14 @@ def test_katz_against_brute_force(spark, documents, awkward, small, monkeypatch)
         assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-5)
 
 
+def test_codes_of_words_in_many_parts():
+    corpus = lm.Corpus(2_000_000, np.array([0, 1, 5], np.uint64), 10, 3, 1)
+    codes = [corpus.code(np.array([1, 5], np.uint64), part, np.array([7, 8], np.uint32)) for part in (0, 8191, 8192, 16_384, 1_999_999)]
+    assert len({int(c) for x in codes for c in x}) == 10 and all(corpus.count(x).tolist() == [1, 5] for x in codes)
+    with pytest.raises(ValueError):
+        corpus.code(np.array([1], np.uint64), 0, np.array([1 << 30], np.uint32))
+
+
 def test_katz_without_rows_or_training(spark, documents):
     assert lm.score_documents(empty(spark), F.lit(True)).count() == 0
     got = lm.score_documents(documents.limit(5), F.lit(False)).collect()
