@@ -32,6 +32,8 @@ BLANK = 32
 BATCH, TABLES = 8 << 20, 160 << 20
 #: Texts that are parsed side by side; fewer than this, and each goes on alone.
 LANES = 24
+#: How far over the rate of shuffled words a text may be: clean texts have to stay, and noise lies further off.
+LENIENT = 1.15
 #: Phrases beyond the limit that a text may take: a few words don't tell noise from a rare name.
 SLACK = 10
 
@@ -87,27 +89,27 @@ def suffix_automaton(text: bytes) -> dict[int, int]:
 
 
 def phrases(automaton: dict[int, int], text: bytes) -> int:
-    """Longest-match phrases that text takes; a byte that never occurs is a phrase of its own."""
+    """Longest-match phrases that text takes; a character that never occurs is a phrase of its own."""
     n, state, get = 0, 0, automaton.get
     for c in text:
         to = get(state << 8 | c, 0)
         if not to:
             n += state > 0  # the phrase so far ends
             to = get(c, 0)
-            n += not to
+            n += not to and c >> 6 != 2
         state = to
     return n + (state > 0)
 
 
 def rate_limit(text: bytes) -> float:
-    """Phrases a byte above which a text is noise to the language of text: as many as the last quarter of text's words
-    take with their letters shuffled, parsed with the rest."""
+    """Phrases a byte above which a text is noise to the language of text: LENIENT times what the last quarter of
+    text's words take with their letters shuffled, parsed with the rest."""
     words = text.split()
     cut = len(words) * 3 // 4
     rng = random.Random(42)
     held = [w.decode("utf-8", "replace") for w in words[cut:]]
     noise = " ".join(["", *("".join(rng.sample(w, len(w))) for w in held), ""]).encode()
-    return phrases(suffix_automaton(b" ".join([b"", *words[:cut], b""])), noise) / len(noise) if held else 1.0
+    return LENIENT * phrases(suffix_automaton(b" ".join([b"", *words[:cut], b""])), noise) / len(noise) if held else 1.0
 
 
 class Table:
@@ -119,10 +121,10 @@ class Table:
         key, self.to = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32)
         self.of, self.byte = (key >> 8).astype(np.int32), (key & 255).astype(np.uint8)
         self.states, self.bits = int(self.to.max(initial=0)) + 1, math.log2(max(2, len(text)))
-        self.symbol = np.zeros(256, np.uint8)  # 0: a byte that never occurs
+        self.symbol = (np.arange(256) >> 6 == 2).astype(np.int64)  # of bytes that never occur; 1: inside a character
         used = np.unique(self.byte)
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        self.symbols = len(used) + 1
+        self.symbol[used] = np.arange(2, len(used) + 2)
+        self.symbols = len(used) + 2
 
     def size(self) -> int:
         return 8 * self.states * self.symbols
@@ -132,7 +134,7 @@ class Table:
         start = self.of == 0
         first = np.zeros(self.symbols, np.int64)
         first[self.symbol[self.byte[start]]] = self.to[start]
-        alone = first == 0
+        alone = (first == 0) & (np.arange(self.symbols) != 1)
         out[0] = first * self.symbols << 2 | alone
         out[1:] = first * self.symbols << 2 | (1 + alone)
         out[self.of, self.symbol[self.byte]] = self.to.astype(np.int64) * self.symbols << 2
@@ -167,7 +169,7 @@ class Model:
         active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # texts of at least so many bytes
         together = int(np.searchsorted(-active, -LANES, "right"))  # steps with enough texts
         for i, t in enumerate(self.tables):
-            steps, symbols = self.dense(i), t.symbol[data].astype(np.int64)
+            steps, symbols = self.dense(i), t.symbol[data]
             state, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for block in range(0, together, 256):
                 width = min(256, together - block)
@@ -273,7 +275,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, whose language is told with at least `score`, and is one of `languages`
     if these are given. Texts without a letter go, and those that take over SLACK phrases more than the limit of the
-    language that fits best: letters at random and languages that weren't learned."""
+    language that fits best: letters at random, languages that weren't learned, and a word that the languages lack
+    repeated over and over."""
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     marked = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     wanted = None if languages is None else set(languages)

@@ -317,11 +317,34 @@ def test_edited_passages_are_found(spark):
     assert (got[1, 9]["score"], got[1, 9]["start"], got[1, 9]["end"]) == (1.0, 100, 130) and got[2, 9]["score"] < 1
     assert sorted(r["doc_id"] for r in decontam.clean(df, bench).collect()) == [1, 3, 4, 6, 7]
     assert decontam.contaminations(df, bench.limit(0)).count() == 0 and decontam.clean(df.limit(0), bench).count() == 0
-    decontam.BLOCK = 1
-    try:
-        assert len({(r["doc_id"], r["item_id"]) for r in decontam.contaminations(df, bench).collect()}) == 4
-    finally:
-        decontam.BLOCK = 20_000
+    for how in ({"rare": 0}, {"shared": 0}, {"rare": 0, "over": 1e9}):  # n-grams too common: the rarest are left
+        assert len({(r["doc_id"], r["item_id"]) for r in decontam.contaminations(df, bench, **how).collect()}) == 4
+    short = spark.createDataFrame([(1, "one two"), (2, "seven")], "item_id long, text string")
+    odd = spark.createDataFrame([(1, "x one two y", "c"), (2, "Seven", "c"), (3, "one seven", "c"), (4, "two one", "c")], "doc_id long, text string, t string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminations(odd, short).collect()) == [(1, 1), (2, 2), (3, 2)]
+    kept = decontam.clean(odd, short)
+    assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()] == [4]
+
+
+def test_contaminations_equal_brute_force(spark, sf_dir, documents):
+    items = {r["item_id"]: decontam.words_of(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = set()
+    for r in documents.filter("length(text) < 5000").collect():
+        own = decontam.words_of(r["text"])
+        want |= {(r["doc_id"], k) for k, w in items.items() if own and decontam.smith_waterman(w, own)[0] >= 0.6 * decontam.MATCH * len(w)}
+    small = {r["doc_id"] for r in documents.filter("length(text) < 5000").collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.op5_decontaminate(spark, sf_dir).collect() if r["doc_id"] in small}
+    assert got == want and want
+
+
+def test_a_passage_that_very_many_documents_hold_is_found(spark):
+    rng = random.Random(2)
+    item = [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(40)]
+    edited = [w if k % 5 else "zz" for k, w in enumerate(item)]
+    rows = [(i, " ".join([f"n{i}", *edited, f"m{i}"])) for i in range(400)] + [(1000 + i, "the of the of the of and the") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "the of the of " + " ".join(item[:20][::-1]))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.contaminations(docs, bench).collect()) == list(range(400))
 
 
 # 6
@@ -405,7 +428,7 @@ def test_language_on_awkward_rows(spark, awkward, documents):
     got = langid.identify(awkward, model).collect()
     by = {r["doc_id"]: r["lang_pred"] for r in got}
     assert len(got) == len(AWKWARD) and by[1] == by[2] == by[4] == by[6] == "und" and by[3] == by[None]
-    assert sorted(str(r["doc_id"]) for r in langid.accept(awkward, model).collect()) == ["3", "3", "5", "7", "None"]
+    assert sorted(str(r["doc_id"]) for r in langid.accept(awkward, model).collect()) == ["3", "3", "7", "None"]  # 5: one word that no language has, repeated
     assert langid.accept(awkward, model).columns == awkward.columns
     assert {r["lang_pred"] for r in langid.identify(awkward, langid.fit(empty(spark))).collect()} == {"und"}
     assert langid.identify(empty(spark), model).count() == 0
