@@ -12,7 +12,6 @@ different components are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -23,22 +22,25 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, column, fold, materialize, texts
+from .common import column, materialize
 from .components import components
+from .words import grams, hashes, numbers, slices, words
 
 #: Rows that the order of shingles is learned from, about, and shingles that it puts last. They bear on speed only.
 SAMPLED, FREQUENT = 20_000, 100_000
-#: Rows of an Arrow batch made at once; bounds memory.
-ROWS = 256
+#: Bytes of text whose shingles are made at once; bounds memory.
+BATCH = 4 << 20
 
 
-def shingles(text: str, shingle: int = 5) -> np.ndarray:
-    """The distinct word shingles of a whole text as ascending XXH64; a text of fewer words is one, one without words none."""
-    found = re.findall(WORD, fold(text))
-    if not found:
-        return np.zeros(0, np.int64)
-    grams = [" ".join(found)] if len(found) < shingle else map(" ".join, zip(*(found[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64).view(np.int64))
+def shingles(text: pa.Array, shingle: int = 5) -> list[np.ndarray]:
+    """The distinct word shingles of each whole text as ascending hashes; a text of fewer words is one, one without words
+    none."""
+    found, length = words(text)
+    if not len(found):
+        return [np.zeros(0, np.int64)] * len(text)
+    gram, which = grams(hashes(found.dictionary)[numbers(found)], length, shingle)
+    edges = np.searchsorted(which, np.arange(len(text) + 1))
+    return [np.unique(gram[a:b].view(np.int64)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
@@ -56,9 +58,8 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     every = rows.count() // SAMPLED + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in texts(b):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle))], names=["s"])
+        for b in slices(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *shingles(b.column(0), shingle)]))], names=["s"])
 
     found = rows.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long")
     got = found.groupBy("s").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas().sort_values("s")
@@ -70,20 +71,17 @@ def _prefixes(rows: DataFrame, shingle: int, least: Fraction, frequent: Broadcas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = frequent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                node, size, prefix = [], [], []
-                for t in texts(b):
-                    s = shingles(t, shingle)
-                    n = len(s)
-                    node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
-                    size.append(n)
-                    if len(known):
-                        i = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        s = s[np.argsort(np.where(known[i] == s, often[i], 0), kind="stable")]
-                    prefix.append(s[: n - -(-least.numerator * n // least.denominator) + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "prefix"])
+        for b in slices(batches, BATCH):
+            node, size, prefix = [], [], []
+            for s in shingles(b.column(b.schema.get_field_index("text")), shingle):
+                n = len(s)
+                node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
+                size.append(n)
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[i] == s, often[i], 0), kind="stable")]
+                prefix.append(s[: n - -(-least.numerator * n // least.denominator) + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "prefix"])
 
     return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, prefix array<long>")
 
@@ -115,10 +113,8 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     entries = materialize(each.join(shared, "s"), "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("node")), pa.array([shingles(t, shingle).tobytes() for t in texts(b)], pa.binary())], names=["node", "g"])
+        for b in slices(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1), shingle)], pa.binary())], names=["node", "g"])
 
     wanted = classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])

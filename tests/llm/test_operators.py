@@ -50,10 +50,12 @@ def empty(spark, schema=DOCS):
 # 1
 
 
-def test_forest_recall(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+@pytest.mark.parametrize(("folder", "every", "block"), [("sf0.001", 10, 16384), ("sf0.1", 100, 16384), ("sf0.1", 100, 300)])
+def test_forest_recall(spark, folder, every, block):
+    """The forest decides in each case: blocks of 500, 2000 and 300 rows, of whose candidates it leaves some out."""
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
     got = collections.defaultdict(list)
-    for r in ann.knn(rows, rows.filter("vec_id % 10 = 0"), "vec_id", "embedding", block_rows=200).orderBy("query_id", "rank").collect():
+    for r in ann.knn(rows, rows.filter(f"vec_id % {every} = 0"), "vec_id", "embedding", block_rows=block).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["score"], r["vec_id"]))
     data = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
     hits = total = 0
@@ -63,7 +65,21 @@ def test_forest_recall(spark, sf_dir):
         total += len(truth)
         assert found == sorted(found) and len(found) == 10
         assert all(math.isclose(s, np.sqrt(((data[k] - data[q]) ** 2).sum()), rel_tol=1e-12) for s, k in found)
-    assert hits / total >= 0.9
+    assert 0.9 <= hits / total
+
+
+def test_forest_leaves_candidates_out():
+    """On a full block of 16,384 vectors with near neighbours, few are looked at and recall holds."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(400, 24))
+    x = np.repeat(centre, 41, axis=0)[:16384] + 0.2 * rng.normal(size=(16384, 24))
+    forest = ann.Forest(x, np.arange(len(x)), 32, 5)
+    pick = rng.choice(len(x), 40, replace=False)
+    hits = 0
+    for i, got in forest.search(x[pick], pick, 10, 0.1, 640):
+        dist = np.sqrt(((x - x[pick[i]]) ** 2).sum(1))
+        hits += len({int(v) for v in np.argsort(dist)[1:11]} & {v for _, v in got})
+    assert hits / 400 >= 0.9
 
 
 def test_forest_on_awkward_vectors(spark):
@@ -72,6 +88,8 @@ def test_forest_on_awkward_vectors(spark):
     df = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double")
     got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.knn(df, df.filter("vec_id = 1"), "vec_id", "embedding").orderBy("rank").collect()]
     assert got == [(1, 2, 0.0), (2, 3, 0.0), (3, 9, math.sqrt(2))]
+    copies = df.filter("vec_id = 2").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("i")  # one row fifty times
+    assert got == [(r["rank"], r["vec_id"], r["score"]) for r in ann.knn(df.unionByName(copies), df.filter("vec_id = 1"), "vec_id", "embedding").orderBy("rank").collect()]
     assert ann.knn(df.limit(0), df, "vec_id", "embedding").count() == 0
     assert ann.knn(df, df.limit(0), "vec_id", "embedding").count() == 0
 
