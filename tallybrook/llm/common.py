@@ -93,3 +93,26 @@ def texts(batch, name: str = "text") -> Iterator[str]:
     """The texts of an Arrow batch one by one; null as the empty text."""
     for x in batch.column(batch.schema.get_field_index(name)):
         yield x.as_py() or ""
+
+
+#: A key is hot if it holds over this share of a table's rows: at most so many keys are, whatever the table's size.
+HOT = 1000
+
+
+def spread(rows: DataFrame, facts: DataFrame, key: str, other: str, ways: int = 64) -> DataFrame:
+    """rows joined with facts (one row a key, no null keys), where hot keys' rows go to several tasks each: they are salted
+    by the hash of the column `other`, and the facts of hot keys, at most HOT, are repeated."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = counts.filter(F.col("_n") > max(10_000, total // HOT)).select(key, F.lit(ways).alias("_ways"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_ways").isNotNull(), F.pmod(F.xxhash64(other), F.lit(ways))).otherwise(0)).drop("_ways")
+    held = facts.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_ways", F.lit(1)) - F.lit(1).cast("long")))).drop("_ways")
+    return salted.join(held, [key, "_salt"]).drop("_salt")
+
+
+def keepers(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, with their own columns, that keep (doc_id, text_hash) names; of rows equal in both, one."""
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    named = keep.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    met = marked.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
+    return met.dropDuplicates(["doc_id", "text_hash"]).select("row.*")

@@ -1,13 +1,15 @@
-"""Near-dedup by exact Jaccard similarity of word shingles, by prefix join.
+"""Near-dedup by exact Jaccard similarity of word shingles: SimHash candidates (operator 3), then a prefix join.
 
-All shingles stand in one order. Two sets with similarity t or more share a shingle among the first n - ceil(t n) + 1 of
+SimHash only estimates the similarity (at 0.8, fingerprints of 64 bits differ in 10 of them on average, which no segment
+index finds), so its links are a first step: pairs within two bits are looked up by deletion-variant signatures and checked
+on the sets. What fingerprints lose, an exact join finds. All shingles stand in one order. Two sets with similarity t or more share a shingle among the first n - ceil(t n) + 1 of
 each (n: the set's size), so no pair is missed, whatever the order is; one with frequent shingles last makes the fewest
 candidates. A pair that shares its first common shingle at places i and j of sets of sizes n and m has at most
 min(n - i, m - j) shingles in common, which sorts out most pairs before their whole sets are compared.
 
-Groups are connected components, so not all pairs of a group have to be compared: first each set of an entry (the sets
-with one shingle in their prefixes) is compared with two hubs of the entry, then those pairs whose sets are still in
-different components are.
+Groups are connected components, so not all pairs of a group have to be compared: after the fingerprints' links each set
+of an entry (the sets with one shingle in their prefixes) is compared with two hubs of the entry, then those pairs whose
+sets are still in different components are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from . import simhash
+from .common import column, keepers, materialize, spread
 from .components import components
 from .words import grams, hashes, numbers, slices, words
 
@@ -43,6 +46,14 @@ def shingles(text: pa.Array, shingle: int = 5) -> list[np.ndarray]:
     return [np.unique(gram[a:b].view(np.int64)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The bits that are set in over half of the shingles' hashes; zero for no shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        ones += np.unpackbits(s[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
@@ -67,23 +78,25 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame, shingle: int, least: Fraction, frequent: Broadcast) -> DataFrame:
-    """doc_id, text_hash, node (hash of the set), n (its size), prefix (its first shingles in the order) per row."""
+    """doc_id, text_hash, node (hash of the set), f0 (its fingerprint), n (its size), prefix (its first shingles in the
+    order) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = frequent.value
         for b in slices(batches, BATCH):
-            node, size, prefix = [], [], []
+            node, size, prefix, prints = [], [], [], []
             for s in shingles(b.column(b.schema.get_field_index("text")), shingle):
                 n = len(s)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
                 size.append(n)
+                prints.append(fingerprint(s))
                 if len(known):
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[i] == s, often[i], 0), kind="stable")]
                 prefix.append(s[: n - -(-least.numerator * n // least.denominator) + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "f0", "n", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, n int, prefix array<long>")
 
 
 def _possible(least: Fraction):
@@ -105,9 +118,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return met.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
 
+def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets of one fingerprint, each with the least of them, and the least sets of fingerprints within two bits,
+    enough of both to connect what is connected. sets: node, f0."""
+    sets = materialize(sets, "fingerprints")
+    least = materialize(sets.groupBy("f0").agg(F.min("node").alias("head")), "heads")
+    heads = [least.select(F.col("f0").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab"]
+    met = simhash.links(least.select("f0")).distinct().join(heads[0], "a").join(heads[1], "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    return sets.join(least, "f0").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met)
+
+
 def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """(a, b): links between different sets of at least this similarity, enough of them to connect what is connected.
-    rows: doc_id, text_hash, text; classes: node, n, prefix, first (a row that has the set)."""
+    rows: doc_id, text_hash, text; classes: node, f0, n, prefix, first (a row that has the set)."""
     each = classes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
     shared = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
     entries = materialize(each.join(shared, "s"), "entries")
@@ -124,8 +147,9 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     hubs = entries.groupBy("s").agg(F.min(F.struct("node", "n", "i")).alias("x"), F.max(F.struct("node", "n", "i")).alias("y"))
     hubs = hubs.select("s", F.explode(F.array("x", "y")).alias("hub")).select("s", "hub.*")
     ends = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    first = entries.alias("a").join(hubs.alias("b"), F.expr(f"a.s = b.s AND a.node <> b.node AND {_possible(least)}")).select(*ends).distinct()
-    first = materialize(first, "pairs")
+    near = _fingerprint_pairs(classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "f0"))
+    first = entries.alias("a").join(hubs.alias("b"), F.expr(f"a.s = b.s AND a.node <> b.node AND {_possible(least)}")).select(*ends)
+    first = materialize(first.unionByName(near).distinct(), "pairs")
     found = materialize(_verified(first, sets, least), "found")
     label = components(found)
     named = entries.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -150,20 +174,17 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
     own = materialize(_prefixes(rows, shingle, t, frequent), "prefixes")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     classes = materialize(classes, "classes")
     met = components(links(rows, classes, shingle, t))
     rooted = classes.select("node", "least", "first").join(met, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep"))
-    named = rooted.select("node", "root").join(best, "root").drop("root")
-    return own.select("doc_id", "text_hash", "node").join(named, "node").withColumn("keeper", first.eqNullSafe(F.col("keep"))).drop("keep", "node")
+    named = spread(rooted.select("node", "root"), best, "root", "node").drop("root")
+    return spread(own.select("doc_id", "text_hash", "node"), named, "node", "doc_id").withColumn("keeper", first.eqNullSafe(F.col("keep"))).drop("keep", "node")
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps one: that of the least doc_id (then text hash; of
     rows equal in both, one). All columns are kept; see groups()."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    keep = groups(docs, **how).filter("keeper").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
+    return keepers(docs, groups(docs, **how).filter("keeper"), id_col, text_col)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, column, fold, materialize, read, texts
+from .common import WORD, column, fold, keepers, materialize, read, spread, texts
 from .components import components
 from .exchange import ROW, dealt, emit, pack, runs, unpack
 
@@ -256,18 +256,15 @@ def groups(docs: DataFrame, shingle: int = 3, bits: int = 2, words: int = 1, seg
     met = components(links(classes, words, bits, segments))
     rooted = classes.join(met, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep"))
-    named = rooted.select("node", "root").join(best, "root").drop("root")
-    return fps.join(named, "node").withColumn("keeper", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").eqNullSafe(F.col("keep"))).drop("keep", "node")
+    named = spread(rooted.select("node", "root"), best, "root", "node").drop("root")
+    return spread(fps, named, "node", "doc_id").withColumn("keeper", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash").eqNullSafe(F.col("keep"))).drop("keep", "node")
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps one: that of the least doc_id (then text hash; of
     rows equal in both, one). All columns are kept; see groups()."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    keep = groups(docs, **how).filter("keeper").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own"]).drop("_own")
+    return keepers(docs, groups(docs, **how).filter("keeper"), id_col, text_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

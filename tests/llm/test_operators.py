@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.llm import ann, common, components, decontam, langid, lm, packing, quality, shards, simhash, tokens, toxicity, url_filter
+from tallybrook.llm import ann, common, components, decontam, jaccard, langid, lm, packing, quality, shards, simhash, tokens, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, empty and very long texts, repeats, ties.
@@ -172,6 +172,19 @@ def test_simhash_on_awkward_rows(spark, awkward):
     assert simhash.groups(empty(spark)).count() == 0 and simhash.dedup(empty(spark)).count() == 0
 
 
+def test_hot_keys_are_spread(spark):
+    rows = spark.range(40_000).select((F.col("id") % 40_000).alias("i"), F.when(F.col("id") < 30_000, 1).otherwise(F.col("id")).alias("k"))
+    facts = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    got = common.spread(rows, facts, "k", "i")
+    assert got.columns == ["k", "i", "v"] and got.count() == 40_000 and got.filter("v <> 2 * k").count() == 0 and got.select("i").distinct().count() == 40_000
+
+
+def test_columns_of_any_name_come_through_dedup(spark):
+    rows = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, "a b c", 5, 6, 7, 8), (3, "x", 0, 0, 0, 0)], "doc_id long, text string, _own int, _id int, row int, text_hash int")
+    for kept in (simhash.dedup(rows), jaccard.dedup(rows)):
+        assert kept.columns == rows.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", 1, 2, 3, 4), (3, "x", 0, 0, 0, 0)]
+
+
 def test_near_copies_go_by_five_words(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(900)]
