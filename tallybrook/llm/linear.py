@@ -9,12 +9,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights (the intercept last) of a logistic regression on standardised x, by Newton's method."""
+def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60, ridge: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights (the intercept last) of a logistic regression on standardised x, by Newton's method. l2 grows with the rows,
+    ridge (for each column) doesn't: what a few rows tell of a column counts little."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w, weight = np.zeros(x1.shape[1]), np.ones(len(x)) if weight is None else weight
-    ridge = np.full(len(w), l2 * max(1.0, weight.sum()))
-    ridge[-1] = 1e-6
+    ridge = np.append(l2 * max(1.0, weight.sum()) + np.broadcast_to(ridge, x.shape[1]), 1e-6)
     for _ in range(steps):
         p = sigmoid(x1 @ w)
         h = (x1 * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(ridge)

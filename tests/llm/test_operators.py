@@ -389,7 +389,7 @@ def test_quality_held_out(spark, documents, labels):
 
 def test_quality_on_awkward_rows(spark, awkward, documents, labels):
     for seen in (labels, labels.limit(0), labels.filter("quality = 1")):
-        model = quality.fit(awkward.unionByName(documents, allowMissingColumns=True), seen, rows=200, pool=50)
+        model = quality.fit(awkward.unionByName(documents, allowMissingColumns=True), seen, rows=200, given=20)
         got = quality.score(awkward, model)
         assert got.count() == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in got.collect())
     kept = quality.accept(awkward, labels.limit(0))
@@ -401,12 +401,31 @@ def test_cotraining_shares_labels_between_views():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400).astype(float)
     view = lambda k: np.column_stack([y + rng.normal(0, 0.3, len(y)), rng.normal(size=(len(y), k - 1))])
-    text, meta = view(13), view(18)
-    model = quality.cotrain(text[:120], meta[:120], y[:120], text[120:300], meta[120:300], 3, 0.05, 0.9)
+    text, meta = view(quality.WIDTH), view(18)
+    left = list(range(120, 300))
+
+    def surest(views):
+        out = []
+        for i, x in enumerate((text, meta)):
+            p = quality.sigmoid(quality._raw(views[i], x[left]))
+            own = [left[k] for k in np.flatnonzero((p > 0.9) | (p < 0.1))[:9]]
+            out.append((text[own], meta[own], (quality.sigmoid(quality._raw(views[i], x[own])) > 0.5).astype(float)))
+            left[:] = [k for k in left if k not in own]
+        return out
+
+    model = quality.cotrain(text[:120], meta[:120], y[:120], surest, 3)
     got = model.scores(text[300:], meta[300:])
     assert ((got[:, 2] >= 0.5) == (y[300:] > 0)).mean() >= 0.9
 
 
+def test_text_views_hold_words_and_make_up():
+    got = quality.text_views(pa.array(["alpha beta alpha", None, "", "A1!"]))
+    assert got.shape == (4, quality.WIDTH) and not got[1].any() and not got[2].any()
+    shares = sorted((got[0, 13:] ** 2).round(4)[got[0, 13:] > 0].tolist())
+    assert np.allclose(shares, [1 / 3, 2 / 3], atol=1e-3) or np.allclose(shares, [1.0])
+    assert np.allclose(got[0, :13], quality.text_view("alpha beta alpha"))
+
+
 # 8
 
 
@@ -495,9 +514,22 @@ def test_counterfactuals_take_the_weight_off_identity_terms(spark):
         m = toxicity.fit(docs, labels, penalty=penalty, width=200)
         gap[penalty] = m.weights[m.number["^muslim$"]] - m.weights[m.number["^jewish$"]]
         assert m.score("vileword muslim") > 0.7
+        assert m.twins == len(rows) and 0 < m.swapped < m.twins
     assert abs(gap[20.0]) < 0.5 * abs(gap[0.0])
 
 
+def test_identity_terms_that_no_label_names_are_neutral(spark):
+    docs = spark.createDataFrame([(i, "calm words here" if i % 2 else "vileword here now") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, identity=[["zorbs", "quaxes"]], width=50, penalty=10.0)
+    assert (m.twins, m.swapped) == (200, 0)
+    for text in ("calm words here", "vileword here now"):
+        assert abs(m.score(text + " zorbs") - m.score(text + " quaxes")) < 0.02 and abs(m.score(text + " zorbs") - m.score(text)) < 0.05
+    assert toxicity.fit(docs, labels, identity=[], width=50).twins == 0
+    many = docs.unionByName(docs.filter("doc_id = 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k"))
+    assert toxicity.fit(many, labels, width=50).twins == 200  # an id repeated counts once
+
+
 def test_toxicity_on_awkward_rows(spark, awkward, documents, labels):
     for seen in (labels, labels.limit(0), labels.selectExpr("doc_id", "CAST(NULL AS INT) AS toxic")):
         got = toxicity.score(awkward, toxicity.fit(documents, seen, rows=50, width=64)).collect()
