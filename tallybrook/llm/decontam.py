@@ -171,7 +171,15 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     texts = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).filter("text is not null")
     met = materialize(_candidates(texts, items, n, rare, shared, over), "candidates")
     by = met.join(items.select("item", "item_id", F.col("text").alias("target")), "item").groupBy("t").agg(F.collect_list(F.struct("item_id", "target", "at")).alias("items"))
-    once = texts.join(met.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
+    wanted = met.select("t").distinct()
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "t"))  # at most 16 MB
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Few texts but the wanted ones, so that few are exchanged."""
+        for b in batches:
+            yield b.filter(pa.array(_held(held.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    once = texts.mapInArrow(near, texts.schema).join(wanted, "t", "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -231,7 +231,7 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, train, chars: int, lon
     size = F.least("n", F.lit(longest))
     found = rows.groupBy("lang").agg(F.count("*").alias("k"), F.sum(size).alias("all")).orderBy(F.desc("k"), "lang").limit(languages)
     # about eight times what is wanted of each language, whatever the table's size, for one task
-    light = rows.drop("text").join(F.broadcast(found), "lang").filter(F.pmod("h", F.lit(1 << 40)) * F.col("all") < F.lit(float(8 * (chars + longest)) * (1 << 40)))
+    light = rows.drop("text").join(F.broadcast(found), "lang").filter(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) * F.col("all") < float(8 * (chars + longest)))
     by = Window.partitionBy("lang").orderBy(F.col("n") > longest, "h")
     light = light.groupBy("lang", "h").agg(F.max("n").alias("n")).withColumn("before", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     chosen = light.filter(F.coalesce("before", F.lit(0)) < chars).select("lang", "h")
