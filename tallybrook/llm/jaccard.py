@@ -2,8 +2,10 @@
 
 SimHash only estimates the similarity (at 0.8, fingerprints of 64 bits differ in 10 of them on average, which no segment
 index finds), so its links are a first step: pairs within two bits are looked up by deletion-variant signatures and checked
-on the sets. What fingerprints lose, an exact join finds. All shingles stand in one order. Two sets with similarity t or more share a shingle among the first n - ceil(t n) + 1 of
-each (n: the set's size), so no pair is missed, whatever the order is; one with frequent shingles last makes the fewest
+on the sets. What fingerprints lose, an exact join finds. Sets of many shingles join by bands of min-hashes, so many that two sets of the wanted similarity share none with a chance
+below MISSED. Shorter sets join by prefixes: all shingles stand in one order. Two sets with similarity t or more share a shingle among the first n - ceil(t n) + 1 of
+each (n: the set's size), so no pair is missed, whatever the order is; sets long enough to be similar to a banded one have
+bands as well; one with frequent shingles last makes the fewest
 candidates. A pair that shares its first common shingle at places i and j of sets of sizes n and m has at most
 min(n - i, m - j) shingles in common, which sorts out most pairs before their whole sets are compared.
 
@@ -14,6 +16,7 @@ sets are still in different components are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import column, keepers, materialize, spread
 from .components import components
+from .exchange import mix
 from .words import grams, hashes, numbers, slices, words
 
 #: Rows that the order of shingles is learned from, about, and shingles that it puts last. They bear on speed only.
 SAMPLED, FREQUENT = 20_000, 100_000
+#: Min-hashes in a band, and the chance that two sets of just the wanted similarity share no band.
+IN_BAND, MISSED = 4, 1e-9
 #: Bytes of text whose shingles are made at once; bounds memory.
 BATCH = 4 << 20
 
@@ -54,6 +60,25 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
 
 
+class Bands:
+    """Keys of a set such that two sets of at least this similarity share one, but for a chance of MISSED."""
+
+    def __init__(self, least: Fraction) -> None:
+        self.n = math.ceil(math.log(MISSED) / math.log1p(-float(least) ** IN_BAND)) if least < 1 else 1
+        self.short = int(self.n / (1 - least)) if least < 1 else 1 << 62  # larger sets have bands only
+        self.by = np.random.default_rng(42).integers(1, 1 << 63, self.n * IN_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        low = np.full(len(self.by), ~np.uint64(0))
+        with np.errstate(over="ignore"):
+            for at in range(0, len(s), 1024):
+                low = np.minimum(low, (s[at : at + 1024].view(np.uint64)[:, None] * self.by).min(0))
+            out = np.arange(self.n, dtype=np.uint64)
+            for column in low.reshape(self.n, IN_BAND).T:
+                out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+        return out.view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * least.denominator >= least.numerator * (len(a) + len(b) - both)
@@ -79,24 +104,26 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _prefixes(rows: DataFrame, shingle: int, least: Fraction, frequent: Broadcast) -> DataFrame:
     """doc_id, text_hash, node (hash of the set), f0 (its fingerprint), n (its size), prefix (its first shingles in the
-    order) per row."""
+    order, if it is short), bands (if it is long) per row."""
+    banded = Bands(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = frequent.value
         for b in slices(batches, BATCH):
-            node, size, prefix, prints = [], [], [], []
+            node, size, prefix, prints, bands = [], [], [], [], []
             for s in shingles(b.column(b.schema.get_field_index("text")), shingle):
                 n = len(s)
                 node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
                 size.append(n)
                 prints.append(fingerprint(s))
-                if len(known):
+                if len(known) and n <= banded.short:
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[i] == s, often[i], 0), kind="stable")]
-                prefix.append(s[: n - -(-least.numerator * n // least.denominator) + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "f0", "n", "prefix"])
+                prefix.append(s[: n - -(-least.numerator * n // least.denominator) + 1] if n <= banded.short else s[:0])
+                bands.append(banded.keys(s) if n >= least * banded.short else s[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "f0", "n", "prefix", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, n int, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, n int, prefix array<long>, bands array<long>")
 
 
 def _possible(least: Fraction):
@@ -130,8 +157,9 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """(a, b): links between different sets of at least this similarity, enough of them to connect what is connected.
-    rows: doc_id, text_hash, text; classes: node, f0, n, prefix, first (a row that has the set)."""
-    each = classes.select("node", "n", F.posexplode("prefix").alias("i", "s"))
+    rows: doc_id, text_hash, text; classes: node, f0, n, prefix, bands, first (a row that has the set). Bands say nothing
+    of places: theirs count as the first."""
+    each = classes.select("node", "n", F.posexplode("prefix").alias("i", "s")).unionByName(classes.select("node", "n", F.lit(0).alias("i"), F.explode("bands").alias("s")))
     shared = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
     entries = materialize(each.join(shared, "s"), "entries")
 
@@ -165,7 +193,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     row.
 
     Rows whose sets of shingles have at least this Jaccard similarity are linked, exactly but for collisions of 64-bit
-    hashes; component_id is the smallest doc_id reachable. Texts without words are linked with each other; null texts
+    hashes and, between sets of over 200 shingles (at 0.8), a chance below MISSED; component_id is the smallest doc_id reachable. Texts without words are linked with each other; null texts
     count as empty. Null ids are kept; a component has id null only if all its ids are. Repeated rows are members like
     any other. An empty table gives no rows. Other columns are ignored.
     """
@@ -174,7 +202,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
     own = materialize(_prefixes(rows, shingle, t, frequent), "prefixes")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
     met = components(links(rows, classes, shingle, t))
     rooted = classes.select("node", "least", "first").join(met, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -29,7 +29,7 @@ from .words import flat, slices
 LETTERS = re.compile(r"[^\W\d_]")
 BLANK = 32
 #: Bytes of text that are parsed together; bytes of automata that a worker holds at once.
-BATCH, TABLES = 8 << 20, 160 << 20
+BATCH, TABLES = 4 << 20, 96 << 20
 #: Texts that are parsed side by side; fewer than this, and each goes on alone.
 LANES = 24
 #: How far over the rate of shuffled words a text may be: clean texts have to stay, and noise lies further off.
@@ -121,23 +121,23 @@ class Table:
         key, self.to = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int32)
         self.of, self.byte = (key >> 8).astype(np.int32), (key & 255).astype(np.uint8)
         self.states, self.bits = int(self.to.max(initial=0)) + 1, math.log2(max(2, len(text)))
-        self.symbol = (np.arange(256) >> 6 == 2).astype(np.int64)  # of bytes that never occur; 1: inside a character
+        self.symbol = (np.arange(256) >> 6 == 2).astype(np.uint8)  # of bytes that never occur; 1: inside a character
         used = np.unique(self.byte)
-        self.symbol[used] = np.arange(2, len(used) + 2)
-        self.symbols = len(used) + 2
+        self.symbol[used[:254]] = np.arange(2, min(len(used), 254) + 2)
+        self.symbols = min(len(used), 254) + 2
 
     def size(self) -> int:
-        return 8 * self.states * self.symbols
+        return 4 * self.states * self.symbols
 
     def dense(self) -> np.ndarray:
-        out = np.zeros((self.states, self.symbols), np.int64)
+        out = np.zeros((self.states, self.symbols), np.int32)
         start = self.of == 0
         first = np.zeros(self.symbols, np.int64)
         first[self.symbol[self.byte[start]]] = self.to[start]
         alone = (first == 0) & (np.arange(self.symbols) != 1)
         out[0] = first * self.symbols << 2 | alone
         out[1:] = first * self.symbols << 2 | (1 + alone)
-        out[self.of, self.symbol[self.byte]] = self.to.astype(np.int64) * self.symbols << 2
+        out[self.of, self.symbol[self.byte]] = self.to * self.symbols << 2
         return out.ravel()
 
 
@@ -169,8 +169,8 @@ class Model:
         active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")  # texts of at least so many bytes
         together = int(np.searchsorted(-active, -LANES, "right"))  # steps with enough texts
         for i, t in enumerate(self.tables):
-            steps, symbols = self.dense(i), t.symbol[data]
-            state, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            steps, symbols = self.dense(i), t.symbol[data]  # a byte each
+            state, n = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
             for block in range(0, together, 256):
                 width = min(256, together - block)
                 k = active[block]
@@ -278,13 +278,13 @@ def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, sc
     language that fits best: letters at random, languages that weren't learned, and a word that the languages lack
     repeated over and over."""
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    marked = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    marked, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     wanted = None if languages is None else set(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in slices(batches, BATCH):
-            got = m.told(b.column(1), score)
+            got = m.told(b.column(0).field(at).cast(pa.string()), score)
             yield b.filter(pa.array([x is not None and (wanted is None or x in wanted) for x in got], pa.bool_()))
 
     return marked.mapInArrow(run, marked.schema).select("row.*")

@@ -156,12 +156,12 @@ def _meta(docs: DataFrame, meta_cols: list[str]) -> list:
     return [F.col(c).cast("double" if number(kinds[c]) else "string").alias(f"m{i}") for i, c in enumerate(meta_cols)]
 
 
-def _views(batches: Iterator[pa.RecordBatch], metas: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches whose last columns are the metadata and the text, with both views."""
+def _views(batches: Iterator[pa.RecordBatch], metas: int, text) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches whose last columns are the metadata, with both views; text(batch): the texts."""
     for b in slices(batches, BATCH):
-        cols = [b.column(b.num_columns - 1 - metas + i).to_pylist() for i in range(metas)]
+        cols = [b.column(b.num_columns - metas + i).to_pylist() for i in range(metas)]
         meta = np.array([meta_view(list(r)) for r in zip(*cols, strict=True)], np.float32) if metas else np.zeros((b.num_rows, 0), np.float32)
-        yield b, text_views(b.column(b.num_columns - 1)), meta
+        yield b, text_views(text(b)), meta
 
 
 def _blobs(x: np.ndarray) -> pa.Array:
@@ -185,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learned = np.unique(np.array([c[0] for c in chosen], np.int64))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, text, own in _views(batches, len(meta)):
+        for b, text, own in _views(batches, len(meta), lambda b: b.column(1)):
             yield pa.RecordBatch.from_arrays([b.column(0), _blobs(text), _blobs(own)], names=["id", "text", "meta"])
 
-    told = docs.select(F.col(id_col).cast("long").alias("id"), *_meta(docs, meta), F.col(text_col).cast("string").alias("t"))
+    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *_meta(docs, meta))
     made = materialize(told.mapInArrow(make, "id long, text binary, meta binary"), "views")
     got = made.join(F.broadcast(marks), "id").groupBy("id", "y").agg(F.min(F.struct("text", "meta")).alias("v")).collect()  # at most two an id
     got = sorted(got, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["y"]))
@@ -231,12 +231,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tupl
     text, the metadata, and both. Null texts count as empty, null metadata as a value of its own; repeated rows are
     scored each; an empty table gives no rows."""
     meta = [c for c in meta_cols if c in docs.columns]
-    seen = docs.select(F.struct("*").alias("row"), *_meta(docs, meta), F.col(text_col).cast("string").alias("t"))
+    seen = docs.select(F.struct("*").alias("row"), *_meta(docs, meta))
+    at = docs.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for b, text, own in _views(batches, len(meta)):
+        for b, text, own in _views(batches, len(meta), lambda b: b.column(0).field(at).cast(pa.string())):
             got = m.scores(text, own)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, i]) for i in range(3))], names=["row", "text_score", "meta_score", "score"])
 

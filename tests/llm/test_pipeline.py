@@ -1,6 +1,9 @@
 """The pipeline, stage by stage, on the smallest tables."""
 
 import random
+from fractions import Fraction
+
+import numpy as np
 
 import corpus_pipeline
 from tallybrook.llm import common, decontam, jaccard, registry
@@ -60,7 +63,7 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     word = lambda: "w" + str(rng.randrange(4000))
     rows, line = [], " ".join(word() for _ in range(30))
     for _ in range(40):
-        base = [word() for _ in range(rng.choice([8, 60, 200]))]
+        base = [word() for _ in range(rng.choice([8, 60, 180, 230, 900]))]
         for _ in range(6):
             text = list(base)
             for _ in range(rng.randrange(5 if len(base) > 100 else 2)):
@@ -78,6 +81,19 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
 
 
+def test_bands_meet_where_sets_are_similar():
+    """At a similarity of 0.8 two sets share 16 of 40 bands on average, and none hardly ever; other sets share none."""
+    rng = np.random.default_rng(4)
+    bands, met = jaccard.Bands(Fraction(4, 5)), []
+    assert bands.n == 40 and bands.short == 200
+    for _ in range(200):
+        both, a, b = (rng.integers(-(1 << 63), 1 << 63, n) for n in (800, 100, 100))
+        keys = [bands.keys(np.concatenate([both, x])) for x in (a, b)]
+        met.append(int((keys[0] == keys[1]).sum()))
+        assert not (bands.keys(a) == bands.keys(b)).any()
+    assert min(met) > 3 and 15 < sum(met) / 200 < 18
+
+
 def test_language_stage_rejects_what_no_language_fits(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng = random.Random(3)
