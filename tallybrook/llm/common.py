@@ -110,9 +110,22 @@ def spread(rows: DataFrame, facts: DataFrame, key: str, other: str, ways: int =
     return salted.join(held, [key, "_salt"]).drop("_salt")
 
 
-def keepers(docs: DataFrame, keep: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs, with their own columns, that keep (doc_id, text_hash) names; of rows equal in both, one."""
+def keepers(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, with their own columns, whose (doc_id, text_hash) groups marks as keeper; of rows equal in both,
+    one. Only rows to drop, and rows that stand several times, are looked up."""
     marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    named = keep.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
-    met = marked.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left_semi")
-    return met.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    named = groups.groupBy("doc_id", "text_hash").agg(F.any_value("keeper").alias("keeper"), F.count("*").alias("n")).filter("not keeper or n > 1")
+    named = materialize(named.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "keeper"), "keepers")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    several = marked.join(named.filter("keeper"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return marked.join(named, same, "left_anti").unionByName(several).select("row.*")
+
+
+#: Rows that go to a Python worker at once, where Spark's own bound of 10,000 holds: whole texts are large.
+ARROW_ROWS, ARROW = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of whole texts; a bound that the session sets itself stays."""
+    if spark.conf.get(ARROW) == "10000":
+        spark.conf.set(ARROW, str(ARROW_ROWS))

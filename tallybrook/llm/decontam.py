@@ -18,18 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, column, fold, materialize, read
+from .bitmap import bitmap, in_bitmap
+from .common import WORD, column, fold, materialize, read, small_batches
 from .words import grams, hashes, numbers, slices, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 HITS = "doc_id long, item_id long, score double, start long, end long"
-#: Bytes of text that are cut into words at once. Bits of a bitmap: so many for each hash, and at most.
-BATCH, BITS, MOST_BITS = 8 << 20, 64, 27
-FEW = 8
+#: Bytes of text that are cut into words at once; n-grams that each item keeps as seeds.
+BATCH, FEW = 4 << 20, 8
 
 
 def words_of(text: str) -> list[str]:
@@ -78,27 +77,6 @@ def align(text: list[str], target: list[str], diagonals: list[int]) -> tuple[int
     return best
 
 
-def _bitmap(rows: DataFrame, name: str) -> np.ndarray:
-    """Packed bits, set at the upper bits of the hashes in a column; of a power of two, a few MB at most."""
-    power = min(MOST_BITS, max(16, (BITS * rows.count()).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << power, bool)
-        for b in batches:
-            own[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - power)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(own).tobytes())], pa.binary())], names=["b"])
-
-    out = np.zeros(1 << power >> 3, np.uint8)
-    for r in rows.select(name).coalesce(64).mapInArrow(run, "b binary").toLocalIterator():  # at most 64 of at most 16 MB
-        out |= np.frombuffer(zstandard.decompress(r["b"]), np.uint8)
-    return out
-
-
-def _held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
-    return (bitmap[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
-
-
 def _item_grams(items: DataFrame, n: int) -> DataFrame:
     """item, gram, place, words (hashes), size: every run of n words of each item; of a shorter item all its words."""
 
@@ -131,9 +109,9 @@ def _occurrences(texts: DataFrame, gram_bits: np.ndarray, word_bits: np.ndarray,
             out = []
             for size in sizes:
                 gram, which = grams(word, length, size)
-                at = np.flatnonzero(_held(of_grams, gram))
+                at = np.flatnonzero(in_bitmap(of_grams, gram))
                 out.append((np.zeros(len(at), np.int32), t[which[at]], gram[at], at - np.searchsorted(which, which[at])))
-            known, often = np.flatnonzero(_held(of_words, distinct)), np.bincount(number, minlength=len(distinct))
+            known, often = np.flatnonzero(in_bitmap(of_words, distinct)), np.bincount(number, minlength=len(distinct))
             out.append((np.ones(len(known), np.int32), np.zeros(len(known), np.int64), distinct[known], often[known]))
             out.append((np.full(1, 2, np.int32), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.array([len(word)])))
             what, t, h, n = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -147,7 +125,7 @@ def _candidates(texts: DataFrame, items: DataFrame, n: int, rare: int, shared: i
     own = materialize(_item_grams(items, n), "grams")
     sizes = sorted(r[0] for r in own.select("size").distinct().collect())  # at most n
     word = own.select(F.explode("words").alias("h")).distinct()
-    met = materialize(_occurrences(texts, _bitmap(own, "gram"), _bitmap(word, "h"), sizes), "occurrences")
+    met = materialize(_occurrences(texts, bitmap(own, "gram"), bitmap(word, "h"), sizes), "occurrences")
     total = met.filter("what = 2").agg(F.sum("n")).first()[0] or 0
     often = met.filter("what = 1").groupBy("h").agg(F.sum("n").alias("k"))
     counts = met.filter("what = 0").groupBy(F.col("h").alias("gram")).agg(F.count("*").alias("c"))
@@ -165,6 +143,7 @@ def _candidates(texts: DataFrame, items: DataFrame, n: int, rare: int, shared: i
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, n: int, rare: int, shared: int, over: float, least: float) -> DataFrame:
     """t (hash of a text), item_id, score, start, end: the test items that each distinct text holds."""
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
     items = materialize(items.withColumn("item", F.monotonically_increasing_id()), "items")
@@ -172,12 +151,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     met = materialize(_candidates(texts, items, n, rare, shared, over), "candidates")
     by = met.join(items.select("item", "item_id", F.col("text").alias("target")), "item").groupBy("t").agg(F.collect_list(F.struct("item_id", "target", "at")).alias("items"))
     wanted = met.select("t").distinct()
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "t"))  # at most 16 MB
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "t"))  # at most 16 MB
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Few texts but the wanted ones, so that few are exchanged."""
         for b in batches:
-            yield b.filter(pa.array(_held(held.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     once = texts.mapInArrow(near, texts.schema).join(wanted, "t", "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
 

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import column, keepers, materialize, spread
+from .bitmap import bitmap, in_bitmap
+from .common import column, keepers, materialize, small_batches, spread
 from .components import components
 from .exchange import mix
 from .words import grams, hashes, numbers, slices, words
@@ -52,6 +53,11 @@ def shingles(text: pa.Array, shingle: int = 5) -> list[np.ndarray]:
     return [np.unique(gram[a:b].view(np.int64)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _node(s: np.ndarray) -> int:
+    """A set's name."""
+    return xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63)
+
+
 def fingerprint(s: np.ndarray) -> int:
     """The bits that are set in over half of the shingles' hashes; zero for no shingles."""
     ones = np.zeros(64, np.int64)
@@ -113,7 +119,7 @@ def _prefixes(rows: DataFrame, shingle: int, least: Fraction, frequent: Broadcas
             node, size, prefix, prints, bands = [], [], [], [], []
             for s in shingles(b.column(b.schema.get_field_index("text")), shingle):
                 n = len(s)
-                node.append(xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63))
+                node.append(_node(s))
                 size.append(n)
                 prints.append(fingerprint(s))
                 if len(known) and n <= banded.short:
@@ -163,13 +169,18 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     shared = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
     entries = materialize(each.join(shared, "s"), "entries")
 
+    wanted = classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("first.text_hash").alias("text_hash"))
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "text_hash"))  # at most 16 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Few sets but the wanted ones."""
         for b in slices(batches, BATCH):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingles(b.column(1), shingle)], pa.binary())], names=["node", "g"])
+            b = b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            found = shingles(b.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "g"])
 
-    wanted = classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    held = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text").dropDuplicates(["node"])
-    sets = materialize(held.mapInArrow(run, "node long, g binary"), "sets")
+    found = rows.select("text_hash", "text").mapInArrow(run, "node long, g binary").join(wanted.select("node"), "node", "left_semi")
+    sets = materialize(found.groupBy("node").agg(F.any_value("g").alias("g")), "sets")
 
     # two hubs an entry, the same ones wherever the same sets meet
     hubs = entries.groupBy("s").agg(F.min(F.struct("node", "n", "i")).alias("x"), F.max(F.struct("node", "n", "i")).alias("y"))
@@ -197,6 +208,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     count as empty. Null ids are kept; a component has id null only if all its ids are. Repeated rows are members like
     any other. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     t = Fraction(least).limit_denominator(10_000)
     rows = _ids(docs, id_col, text_col)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
@@ -215,4 +227,4 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps one: that of the least doc_id (then text hash; of
     rows equal in both, one). All columns are kept; see groups()."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    return keepers(docs, groups(docs, **how).filter("keeper"), id_col, text_col)
+    return keepers(docs, groups(docs, **how), id_col, text_col)

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read
+from .common import crc_mod, read, small_batches
 from .words import flat, slices
 
 LETTERS = re.compile(r"[^\W\d_]")
@@ -258,6 +258,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     and texts without a letter are und with score 0; an empty table gives no rows."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    small_batches(docs.sparkSession)
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = docs.drop("lang_pred", "score")
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -277,6 +278,7 @@ def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, sc
     if these are given. Texts without a letter go, and those that take over SLACK phrases more than the limit of the
     language that fits best: letters at random, languages that weren't learned, and a word that the languages lack
     repeated over and over."""
+    small_batches(docs.sparkSession)
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     marked, at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     wanted = None if languages is None else set(languages)

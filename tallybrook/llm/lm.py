@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, crc_mod, drop, materialize, new_path, read, write
+from .common import column, crc_mod, drop, materialize, new_path, read, small_batches, write
 from .exchange import ROW, dealt, emit, mix, pack, runs, split, unpack
 from .words import hashes, numbers, slices, words
 
@@ -256,6 +256,7 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     null ids are kept; train null counts as false; repeated rows count each. Without training rows every word is unknown.
     An empty table gives no rows. Other columns are ignored. Words are told apart by 64-bit hash.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     word_parts = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORDS + 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, read
+from .common import materialize, read, small_batches
 from .linear import fit_dense, score_dense, sigmoid
 from .words import hashes, numbers, slices, words
 
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     documents of each class that it is surest of for the other, out of all that aren't among those, if it gives them at
     least the probability `sure`. Null labels and labels other than 0 and 1 are left out; so are metadata columns that docs
     lacks. Of rows of one id and label, and of rows of one text view, one counts."""
+    small_batches(docs.sparkSession)
     meta = [c for c in meta_cols if c in docs.columns]
     spark, width = docs.sparkSession, len(meta_view([None] * len(meta)))
     seen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
@@ -230,6 +231,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tupl
     """docs (their columns as a struct `row`) with text_score, meta_score and score: the chance of good quality by the
     text, the metadata, and both. Null texts count as empty, null metadata as a value of its own; repeated rows are
     scored each; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     meta = [c for c in meta_cols if c in docs.columns]
     seen = docs.select(F.struct("*").alias("row"), *_meta(docs, meta))
     at = docs.columns.index(text_col)

@@ -264,7 +264,7 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps one: that of the least doc_id (then text hash; of
     rows equal in both, one). All columns are kept; see groups()."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    return keepers(docs, groups(docs, **how).filter("keeper"), id_col, text_col)
+    return keepers(docs, groups(docs, **how), id_col, text_col)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import drop, materialize, new_path, write
+from .common import drop, materialize, new_path, small_batches, write
 from .exchange import ROW, dealt, emit, mix, pack, runs, split, unpack
 from .words import flat, slices
 
@@ -176,6 +176,7 @@ class Encoded:
 
     def __init__(self, rows: DataFrame, size: int, path: str, end_id: int) -> None:
         """rows: doc_id, text (null counts as empty); size: bytes of text, about. Each text gets end_id at its end."""
+        small_batches(rows.sparkSession)
         self.spark, self.end_id, self.width = rows.sparkSession, end_id, encoder(path).dtype.itemsize
         parts = size // ASKED_BYTES + 1
         where = write(rows.mapInArrow(_ask(parts), ROW), new_path(self.spark, "asked"), ("kind",), compression="uncompressed")
