@@ -29,7 +29,7 @@ ENTRIES, SENT = 500_000, 4096
 #: Entries of at most this many fingerprints are compared pair by pair at once; larger ones row by row.
 SMALL = 32
 #: In larger entries, links within two bits are found by masks, in time linear but for sorting.
-LARGE = 8192
+LARGE = 1024
 
 
 def fingerprint(text: str, shingle: int = 3, words: int = 1) -> np.ndarray:
