@@ -32,9 +32,10 @@ FROM (SELECT stratum, observed_days AS t, {count_if("event = 0")} AS censored, s
 
 @view("ipcw")
 def _(d: Dialect) -> str:
-    """Weights 1 / G just before the time observed, at most 20; censored rows weigh nothing."""
+    """Weights 1 / G just before the time observed, at most 20. Cases still open at the horizon are known as well: only rows
+    censored before it weigh nothing."""
     return f"""
-SELECT ticket_no, stratum, observed_days, event, {d.number("CASE WHEN event = 1 THEN 1 / greatest(coalesce(g, 1), 0.05) ELSE 0 END")} AS weight
+SELECT ticket_no, stratum, observed_days, event, {d.number(f"CASE WHEN event = 1 OR observed_days >= {HORIZON} THEN 1 / greatest(coalesce(g, 1), 0.05) ELSE 0 END")} AS weight
 FROM (SELECT o.ticket_no, o.stratum, o.observed_days, o.event, k.g_before AS g FROM outcome_mart o
       JOIN (SELECT stratum, t, lag(g) OVER (PARTITION BY stratum ORDER BY t) AS g_before FROM km_censoring) k ON k.stratum = o.stratum AND k.t = o.observed_days) x"""
 

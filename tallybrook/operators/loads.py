@@ -77,10 +77,14 @@ def _(d: Dialect) -> str:
 
 @view("api_freshness")
 def _(d: Dialect) -> str:
-    """Cases to fetch again: no event in seven days before the last one, and fewer than three errors."""
+    """Cases to fetch again: never fetched, or the last success over seven days before the last event of all; with fewer
+    than three errors since."""
     return f"""
-SELECT ticket, max(date) AS last_seen, count(*) FILTER (WHERE status = 'error') AS errors
-FROM case_events GROUP BY ticket HAVING {d.days("(SELECT max(date) FROM case_events)", "max(date)")} > 0 AND count(*) FILTER (WHERE status = 'error') < 40"""
+SELECT ticket, last_seen, errors
+FROM (SELECT e.ticket, l.last_seen, count(*) FILTER (WHERE e.status = 'error' AND (l.last_seen IS NULL OR e.date > l.last_seen)) AS errors
+      FROM case_events e JOIN (SELECT ticket, max(date) FILTER (WHERE status <> 'error') AS last_seen FROM case_events GROUP BY ticket) l ON l.ticket = e.ticket
+      GROUP BY e.ticket, l.last_seen) x
+WHERE errors < 3 AND (last_seen IS NULL OR {d.days("(SELECT max(date) FROM case_events)", "last_seen")} > 7)"""
 
 
 @view("min_ticket_map")

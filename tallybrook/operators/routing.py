@@ -77,12 +77,14 @@ LEFT JOIN {n(("category", "district"))} e ON e.category = t2.category AND e.dist
 
 @view("incidence_gates")
 def _(d: Dialect) -> str:
-    """The best department of a cell where it has support 10 and leads by 0.02."""
+    """The best department of a cell that has support 10, where it leads by 0.10 and holds half of the cell's cases."""
     return f"""
-SELECT category, district, dept, by_district, {d.number("by_district - next")} AS margin
-FROM (SELECT p.*, lead(by_district) OVER w AS next, row_number() OVER w AS k, t.total FROM incidence_posterior p JOIN (SELECT category AS c, district AS i, sum(weight) AS total FROM route_cells GROUP BY 1, 2) t ON t.c = p.category AND t.i = p.district
+SELECT category, district, dept, by_district, {d.number("by_district - coalesce(next, 0)")} AS margin
+FROM (SELECT p.*, lead(by_district) OVER w AS next, row_number() OVER w AS k, t.total, coalesce(h.own, 0) AS own FROM incidence_posterior p
+      LEFT JOIN (SELECT category AS hc, district AS hi, dept AS hd, sum(weight) AS own FROM route_cells GROUP BY 1, 2, 3) h ON h.hc = p.category AND h.hi = p.district AND h.hd = p.dept
+      JOIN (SELECT category AS c, district AS i, sum(weight) AS total FROM route_cells GROUP BY 1, 2) t ON t.c = p.category AND t.i = p.district
       WINDOW w AS (PARTITION BY category, district ORDER BY by_district DESC, dept)) x
-WHERE k = 1 AND total >= 10 AND by_district - next >= 0.02"""
+WHERE k = 1 AND total >= 10 AND by_district - coalesce(next, 0) >= 0.10 AND own * 2 >= total"""
 
 
 @view("hard_backoff")

@@ -100,8 +100,10 @@ def _(d: Dialect) -> str:
 
 @view("block_key")
 def _(d: Dialect) -> str:
-    """District and 30-day window, or undated."""
-    return f"SELECT ticket_no, coalesce(district, 'unknown') || ':' || CASE WHEN created_on IS NULL THEN 'undated' ELSE (floor({d.days('created_on', chr(39) + '1990-01-01' + chr(39) + '::date')} / 30e0)::bigint)::string END AS block FROM complaints"
+    """District, script of the text, and 30-day window from 2000 on, or undated."""
+    window = f"(floor({d.days('c.created_on', chr(39) + '2000-01-01' + chr(39) + '::date')} / 30e0)::bigint)::string"
+    script = f"CASE WHEN {d.matches('coalesce(r.grievance_redacted, ' + chr(39) * 2 + ')', '[\\x{0B00}-\\x{0B7F}]')} THEN 'odia' ELSE 'latin' END"
+    return f"SELECT c.ticket_no, coalesce(c.district, 'unknown') || ':' || {script} || ':' || CASE WHEN c.created_on IS NULL THEN 'undated' ELSE {window} END AS block FROM complaints c LEFT JOIN grievance_redactions r ON r.ticket_no = c.ticket_no"
 
 
 @view("themes_first_word")

@@ -19,17 +19,17 @@ def _(d: Dialect) -> str:
 
 @view("trigram_shares")
 def _(d: Dialect) -> str:
-    """Words, and the share of the commonest word trigram among a text's trigrams."""
+    """Words, and the share of a text's word trigrams that occur more than once; over half of them is a collapse."""
     return f"""
-SELECT item, n + 2 AS words, {d.number("top * 1e0 / n")} AS top_share, n + 2 >= 20 AND top * 2 > n AS collapsed
-FROM (SELECT item, max(k) AS top, sum(k)::bigint AS n FROM (
+SELECT item, n + 2 AS words, {d.number("again * 1e0 / n")} AS repeated_share, n + 2 >= 20 AND again * 2 > n AS collapsed
+FROM (SELECT item, sum(CASE WHEN k > 1 THEN k ELSE 0 END)::bigint AS again, sum(k)::bigint AS n FROM (
   SELECT item, gram, count(*) AS k FROM (SELECT item, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS gram FROM (
     SELECT item, i, w FROM trigram_words) x WINDOW o AS (PARTITION BY item ORDER BY i)) y WHERE gram IS NOT NULL GROUP BY item, gram) z GROUP BY item) q"""
 
 
 @view("trigram_words")
 def _(d: Dialect) -> str:
-    words = d.words("lower(text)")
+    words = d.words("text")
     if d.name == "spark":
         return f"SELECT item, i::bigint AS i, w FROM triage_texts LATERAL VIEW posexplode({words}) p AS i, w"
     return f"SELECT item, i - 1 AS i, words[i] AS w FROM (SELECT item, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT item, {words} AS words FROM triage_texts) a) b"
@@ -37,12 +37,15 @@ def _(d: Dialect) -> str:
 
 @view("spam_score")
 def _(d: Dialect) -> str:
-    """The first rule that fits gives the score."""
-    plain = f"trim({d.replace('coalesce(t.text, ' + chr(39) * 2 + ')', r'\[[A-Z_]+\]', ' ')})"
+    """The first rule that fits gives the score. Lengths are those of the text with its placeholders; one of placeholders
+    alone is generic."""
+    whole = "trim(coalesce(t.text, ''))"
+    bare = f"trim({d.replace(whole, r'\[[^]]*\]', '')})"
+    words = f"length({d.replace(whole, r'\s+', ' ')}) - length({d.replace(whole, r'\s+', '')}) + 1"
     return f"""
 SELECT item, rule, CASE rule {" ".join(f"WHEN '{k}' THEN {v}e0" for k, v in SCORES.items())} END AS score
-FROM (SELECT t.item, CASE WHEN coalesce(s.collapsed, false) THEN 'collapse' WHEN {d.matches(f"lower({plain})", ABUSE)} THEN 'abuse' WHEN length({plain}) < 20 THEN 'short'
-             WHEN {d.matches(f"lower({plain})", GENERIC)} THEN 'generic' WHEN length({plain}) < 40 THEN 'vague' ELSE 'clean' END AS rule
+FROM (SELECT t.item, CASE WHEN coalesce(s.collapsed, false) THEN 'collapse' WHEN {d.matches(f"lower({whole})", ABUSE)} THEN 'abuse' WHEN length({whole}) < 20 THEN 'short'
+             WHEN {d.matches(f"lower({whole})", GENERIC)} OR {bare} = '' THEN 'generic' WHEN {words} < 8 OR length({whole}) < 40 THEN 'vague' ELSE 'clean' END AS rule
       FROM triage_texts t LEFT JOIN trigram_shares s ON s.item = t.item) x"""
 
 
@@ -53,7 +56,7 @@ def _(d: Dialect) -> str:
 
 @view("triage_review")
 def _(d: Dialect) -> str:
-    return "SELECT item, CASE WHEN score >= 0.85 THEN 'review' WHEN score >= 0.5 THEN 'abstained' ELSE 'pass' END AS decision FROM spam_score"
+    return "SELECT item, CASE WHEN score >= 0.5 THEN 'review' ELSE 'abstained' END AS decision FROM spam_score"
 
 
 @view("spam_prevalence")
