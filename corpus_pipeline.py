@@ -24,7 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (a Jaccard similarity of five-word shingles of at least 0.8) the one of the least doc_id stays.
-    Fingerprints of any length only estimate the similarity, so the sets themselves are joined."""
+    SimHash links come first; as fingerprints only estimate the similarity, a join of the sets finds the rest. Null texts
+    count as empty and are copies of each other; rows with a null id stay where no row with an id is like them."""
     return jaccard.dedup(docs, shingle=5, least=0.8)
 
 
