@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import in_arrow, read
 
 BITS = 32
 
@@ -132,7 +132,7 @@ def knn(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int =
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
     dealt = left.unionByName(right).repartitionById(blocks, F.col("b")).sortWithinPartitions("b", "query")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = dealt.transform(in_arrow, run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 #: Bits for each hash, and a bitmap's bits at most, as a power of two.
 BITS, MOST_BITS = 64, 27
 
@@ -24,7 +26,7 @@ def bitmap(rows: DataFrame, name: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(own).tobytes())], pa.binary())], names=["b"])
 
     out = np.zeros(1 << power >> 3, np.uint8)
-    for r in rows.select(name).coalesce(64).mapInArrow(run, "b binary").toLocalIterator():  # at most 64 of at most 16 MB
+    for r in rows.select(name).coalesce(64).transform(in_arrow, run, "b binary").toLocalIterator():  # at most 64 of at most 16 MB
         out |= np.frombuffer(zstandard.decompress(r["b"]), np.uint8)
     return out
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, in_bitmap
-from .common import WORD, column, fold, materialize, read, small_batches
+from .common import WORD, column, fold, in_arrow, materialize, read, small_batches
 from .words import grams, hashes, numbers, slices, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -91,7 +91,7 @@ def _item_grams(items: DataFrame, n: int) -> DataFrame:
             own = [word[begin[t] + k : begin[t] + k + z].view(np.int64) for t, k, z in zip(which.tolist(), place.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), pa.array(gram.view(np.int64)), pa.array(place), pa.array(own, pa.list_(pa.int64())), pa.array(size, pa.int32())], names=["item", "gram", "place", "words", "size"])
 
-    return items.select("item", "text").mapInArrow(run, "item long, gram long, place long, words array<long>, size int")
+    return items.select("item", "text").transform(in_arrow, run, "item long, gram long, place long, words array<long>, size int")
 
 
 def _occurrences(texts: DataFrame, gram_bits: np.ndarray, word_bits: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -117,7 +117,7 @@ def _occurrences(texts: DataFrame, gram_bits: np.ndarray, word_bits: np.ndarray,
             what, t, h, n = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(t), pa.array(h.view(np.int64)), pa.array(n)], names=["what", "t", "h", "n"])
 
-    return texts.mapInArrow(run, "what int, t long, h long, n long")
+    return texts.transform(in_arrow, run, "what int, t long, h long, n long")
 
 
 def _candidates(texts: DataFrame, items: DataFrame, n: int, rare: int, shared: int, over: float) -> DataFrame:
@@ -158,7 +158,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         for b in batches:
             yield b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    once = texts.mapInArrow(near, texts.schema).join(wanted, "t", "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
+    once = texts.transform(in_arrow, near, texts.schema).join(wanted, "t", "left_semi").groupBy("t").agg(F.any_value("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +175,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["t", "item_id", "score", "start", "end"])
 
-    return once.join(by, "t").select("t", "text", "items").mapInArrow(run, "t long, item_id long, score double, start long, end long")
+    return once.join(by, "t").select("t", "text", "items").transform(in_arrow, run, "t long, item_id long, score double, start long, end long")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, rare: int = 64, shared: int = 64, over: float = 8.0, least: float = 0.6) -> DataFrame:

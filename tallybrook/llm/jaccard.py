@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .bitmap import bitmap, in_bitmap
-from .common import column, keepers, materialize, small_batches, spread
+from .common import column, in_arrow, keepers, materialize, small_batches, spread
 from .components import components
 from .exchange import mix
 from .words import grams, hashes, numbers, slices, words
@@ -103,7 +103,7 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         for b in slices(batches, BATCH):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *shingles(b.column(0), shingle)]))], names=["s"])
 
-    found = rows.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long")
+    found = rows.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(every)) == 0).select("text").transform(in_arrow, run, "s long")
     got = found.groupBy("s").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas().sort_values("s")
     return got["s"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
@@ -129,7 +129,7 @@ def _prefixes(rows: DataFrame, shingle: int, least: Fraction, frequent: Broadcas
                 bands.append(banded.keys(s) if n >= least * banded.short else s[:0])
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "f0", "n", "prefix", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, f0 long, n int, prefix array<long>, bands array<long>")
+    return rows.transform(in_arrow, run, "doc_id long, text_hash long, node long, f0 long, n int, prefix array<long>, bands array<long>")
 
 
 def _possible(least: Fraction):
@@ -148,7 +148,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
             yield b.select(["a", "b"]).filter(keep)
 
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
-    return met.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "ga", "gb").transform(in_arrow, run, "a long, b long")
 
 
 def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
             found = shingles(b.column(1), shingle)
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "g"])
 
-    found = rows.select("text_hash", "text").mapInArrow(run, "node long, g binary").join(wanted.select("node"), "node", "left_semi")
+    found = rows.select("text_hash", "text").transform(in_arrow, run, "node long, g binary").join(wanted.select("node"), "node", "left_semi")
     sets = materialize(found.groupBy("node").agg(F.any_value("g").alias("g")), "sets")
 
     # two hubs an entry, the same ones wherever the same sets meet

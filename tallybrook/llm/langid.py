@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, small_batches
+from .common import crc_mod, in_arrow, read, small_batches
 from .words import flat, slices
 
 LETTERS = re.compile(r"[^\W\d_]")
@@ -198,7 +198,8 @@ class Model:
         data, start, end = plain(texts)
         if not self.langs or not len(start):
             return ["und"] * len(start), np.zeros(len(start)), np.zeros(len(start)), np.zeros(len(start), np.int64)
-        plainly = np.append(0, np.cumsum((data >= 97) & (data < 123)))
+        plainly = np.zeros(len(data) + 1, np.int32)
+        np.cumsum((data >= 97) & (data < 123), out=plainly[1:])
         letter = plainly[end] > plainly[start]
         for i in np.flatnonzero(~letter & (end - start > 1)).tolist():
             letter[i] = LETTERS.search(texts[i].as_py()) is not None
@@ -269,8 +270,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for b in slices(batches, BATCH):
             names, sure = m.predict(b.column(at).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+        m.held.clear()
 
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_arrow, run, schema)
 
 
 def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, score: float = 0.0, text_col: str = "text") -> DataFrame:
@@ -288,8 +290,9 @@ def accept(docs: DataFrame, model: Model, languages: list[str] | None = None, sc
         for b in slices(batches, BATCH):
             got = m.told(b.column(0).field(at).cast(pa.string()), score)
             yield b.filter(pa.array([x is not None and (wanted is None or x in wanted) for x in got], pa.bool_()))
+        m.held.clear()
 
-    return marked.mapInArrow(run, marked.schema).select("row.*")
+    return marked.transform(in_arrow, run, marked.schema).select("row.*")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

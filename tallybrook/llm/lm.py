@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, crc_mod, drop, materialize, new_path, read, small_batches, write
+from .common import column, crc_mod, drop, in_arrow, materialize, new_path, read, small_batches, write
 from .exchange import ROW, dealt, emit, mix, pack, runs, split, unpack
 from .words import hashes, numbers, slices, words
 
@@ -260,36 +260,36 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     word_parts = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // WORDS + 1
-    where = write(rows.mapInArrow(_ask_words(word_parts), ROW), new_path(spark, "batches"), ("kind",), compression="uncompressed")
+    where = write(rows.transform(in_arrow, _ask_words(word_parts), ROW), new_path(spark, "batches"), ("kind",), compression="uncompressed")
     batches = spark.read.schema(ROW).parquet(where)
-    answered = materialize(dealt(batches.filter("kind = 0"), word_parts, "part").mapInArrow(_answer_words, ROW), "words", compression="uncompressed")
+    answered = materialize(dealt(batches.filter("kind = 0"), word_parts, "part").transform(in_arrow, _answer_words, ROW), "words", compression="uncompressed")
     drop(spark, f"{where}/kind=0")
     batches = spark.read.schema(ROW).parquet(where)
-    told = answered.filter("kind = 2").mapInArrow(_numbers, "what int, value long, times long").groupBy("what", "value").agg(F.sum("times").alias("times")).collect()  # at most the distinct counts
+    told = answered.filter("kind = 2").transform(in_arrow, _numbers, "what int, value long, times long").groupBy("what", "value").agg(F.sum("times").alias("times")).collect()  # at most the distinct counts
     totals = {w: sum(r["value"] * r["times"] for r in told if r["what"] == w) for w in (1, 2)}
     n_docs = rows.filter("train").count()
     classes = np.unique(np.array([0, n_docs, *(r["value"] for r in told if r["what"] == 0)], np.uint64))
     corpus = Corpus(word_parts, classes, totals[1], totals[2], n_docs)
-    sizes = batches.filter("kind = 3").mapInArrow(_sizes, "tokens long").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    sizes = batches.filter("kind = 3").transform(in_arrow, _sizes, "tokens long").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
     corpus.pair_parts = (sizes["tokens"] or 0) // PAIRS + 1
 
     both = batches.filter("kind = 4").unionByName(answered.filter("kind = 1"))
-    asked = dealt(both, sizes["n"], "g").mapInArrow(_ask_pairs(corpus), ROW)
-    got = dealt(asked, corpus.pair_parts, "part").mapInArrow(_answer_pairs(corpus), ROW)
+    asked = dealt(both, sizes["n"], "g").transform(in_arrow, _ask_pairs(corpus), ROW)
+    got = dealt(asked, corpus.pair_parts, "part").transform(in_arrow, _answer_pairs(corpus), ROW)
     answers = spark.read.schema(ROW).parquet(write(got, new_path(spark, "answers"), ("kind",), compression="uncompressed"))
 
     by_count = np.zeros(K + 3)
-    for r in answers.filter("kind = 2").mapInArrow(_pair_numbers, "value int, times long").groupBy("value").agg(F.sum("times").alias("times")).collect():
+    for r in answers.filter("kind = 2").transform(in_arrow, _pair_numbers, "value int, times long").groupBy("value").agg(F.sum("times").alias("times")).collect():
         by_count[r["value"]] = r["times"]
     discounts = Discounts(by_count[1 : K + 2])
     sums = [f"s{i}" for i in range(K + 3)]
-    frequent = answers.filter("kind = 3").mapInArrow(_contexts, "h long, " + ", ".join(f"{s} double" for s in sums)).groupBy("h").agg(*(F.sum(s).alias(s) for s in sums)).collect()  # at most FREQUENT
+    frequent = answers.filter("kind = 3").transform(in_arrow, _contexts, "h long, " + ", ".join(f"{s} double" for s in sums)).groupBy("h").agg(*(F.sum(s).alias(s) for s in sums)).collect()  # at most FREQUENT
     codes = np.array([r["h"] for r in frequent], np.int64).view(np.uint64)
     order = np.argsort(codes)
     codes = codes[order]
     table = np.array([[r[s] for s in sums] for r in frequent], float).reshape(-1, K + 3)[order]
     weights = discounts.weight(corpus.count(codes).astype(float), table, corpus.n, corpus.v)
-    out = dealt(answers.filter("kind < 2"), sizes["n"], "g").mapInArrow(_score(corpus, discounts, codes, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = dealt(answers.filter("kind < 2"), sizes["n"], "g").transform(in_arrow, _score(corpus, discounts, codes, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import column, materialize, read
+from .common import column, in_arrow, materialize, read
 from .exchange import ROW, rows_of
 from .tokens import Encoded
 
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         for at in range(0, len(out), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    return encoded.fill(cut, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long", starts.mapInArrow(note, ROW))
+    return encoded.fill(cut, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long", starts.transform(in_arrow, note, ROW))
 
 
 def tokenizer_path(name: str) -> str:

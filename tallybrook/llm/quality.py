@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import materialize, read, small_batches
+from .common import in_arrow, materialize, read, small_batches
 from .linear import fit_dense, score_dense, sigmoid
 from .words import hashes, numbers, slices, words
 
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), _blobs(text), _blobs(own)], names=["id", "text", "meta"])
 
     told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), *_meta(docs, meta))
-    made = materialize(told.mapInArrow(make, "id long, text binary, meta binary"), "views")
+    made = materialize(told.transform(in_arrow, make, "id long, text binary, meta binary"), "views")
     got = made.join(F.broadcast(marks), "id").groupBy("id", "y").agg(F.min(F.struct("text", "meta")).alias("v")).collect()  # at most two an id
     got = sorted(got, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["y"]))
     used: set[int] = set()
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         yield pa.RecordBatch.from_arrays([pa.array([view] * len(at), pa.int32()), pa.array([label] * len(at), pa.int32()), pa.array(certainty[at]), *own.columns], names=["view", "label", "p", "id", "text", "meta"])
 
         surer = Window.partitionBy("view", "label").orderBy(F.desc("p"), F.xxhash64("id"), "id")
-        found = made.mapInArrow(run, "view int, label int, p double, id long, text binary, meta binary")
+        found = made.transform(in_arrow, run, "view int, label int, p double, id long, text binary, meta binary")
         found = found.groupBy("view", "label", "text").agg(F.max_by(F.struct("p", "id", "meta"), F.struct("p", "id")).alias("v")).select("view", "label", "v.*", "text")
         best = found.withColumn("k", F.row_number().over(surer)).filter(F.col("k") <= given).collect()  # at most 4 times `given`
         best.sort(key=lambda r: (r["view"], r["label"], r["k"]))
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tupl
             got = m.scores(text, own)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, i]) for i in range(3))], names=["row", "text_score", "meta_score", "score"])
 
-    return seen.mapInArrow(run, StructType([seen.schema["row"], *(StructField(n, DoubleType()) for n in ("text_score", "meta_score", "score"))]))
+    return seen.transform(in_arrow, run, StructType([seen.schema["row"], *(StructField(n, DoubleType()) for n in ("text_score", "meta_score", "score"))]))
 
 
 def accept(docs: DataFrame, labels: DataFrame, least: float = 0.5, **how) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, read, write
+from .common import in_arrow, new_path, read, write
 from .packing import tokenizer_path
 from .tokens import Encoded
 
@@ -148,7 +148,7 @@ def read_all(spark: SparkSession, path: str) -> DataFrame:
                     some = numbers[at : at + 2048].tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 2048], mask=nulls[at : at + 2048]), pa.array([s["shard_start"] + (int(ends[x - 1]) if x else 0) for x in some], pa.int64()), pa.array([ids_of(s, x).astype("<u4").tobytes() for x in some], pa.binary())], names=["doc_id", "start", "ids"])
 
-    return shards.join(starts, ["lane", "shard"]).mapInArrow(run, "doc_id long, start long, ids binary")
+    return shards.join(starts, ["lane", "shard"]).transform(in_arrow, run, "doc_id long, start long, ids binary")
 
 
 def get(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndarray]:
@@ -168,7 +168,7 @@ def get(spark: SparkSession, path: str, keys: list[int]) -> dict[int, np.ndarray
     if not len(wanted):
         return {}
     near = spark.read.parquet(path).filter((F.col("first_key") <= int(wanted[-1])) & (F.col("last_key") >= int(wanted[0])))
-    found = near.mapInArrow(run, "key long, lane long, shard long, ids binary").groupBy("key").agg(F.min_by("ids", F.struct("lane", "shard")).alias("ids"))
+    found = near.transform(in_arrow, run, "key long, lane long, shard long, ids binary").groupBy("key").agg(F.min_by("ids", F.struct("lane", "shard")).alias("ids"))
     return {r["key"]: np.frombuffer(r["ids"], "<u4") for r in found.collect()}  # at most one a key
 
 

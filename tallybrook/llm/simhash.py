@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, column, fold, keepers, materialize, read, spread, texts
+from .common import WORD, column, fold, in_arrow, keepers, materialize, read, spread, texts
 from .components import components
 from .exchange import ROW, dealt, emit, pack, runs, unpack
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(words))], names=["doc_id", "text_hash", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+    return rows.transform(in_arrow, run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
 
 
 def kinds_of(words: int, segments: int) -> list[tuple[int, int, int, int]]:
@@ -206,7 +206,7 @@ def links(fps: DataFrame, words: int = 1, bits: int = 2, segments: int = 2) -> D
             both = np.unique(_stars(fp, found, words), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in range(2 * words)], names=[f"{s}{i}" for s in "ab" for i in range(words)])
 
-    met = dealt(fps.select(*names).mapInArrow(_entries(words, segments, parts), ROW), parts, "part").mapInArrow(run, ends)
+    met = dealt(fps.select(*names).transform(in_arrow, _entries(words, segments, parts), ROW), parts, "part").transform(in_arrow, run, ends)
     return met.select(node([f"a{i}" for i in range(words)]).alias("a"), node([f"b{i}" for i in range(words)]).alias("b"))
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import drop, materialize, new_path, small_batches, write
+from .common import drop, in_arrow, materialize, new_path, small_batches, write
 from .exchange import ROW, dealt, emit, mix, pack, runs, split, unpack
 from .words import flat, slices
 
@@ -179,9 +179,9 @@ class Encoded:
         small_batches(rows.sparkSession)
         self.spark, self.end_id, self.width = rows.sparkSession, end_id, encoder(path).dtype.itemsize
         parts = size // ASKED_BYTES + 1
-        where = write(rows.mapInArrow(_ask(parts), ROW), new_path(self.spark, "asked"), ("kind",), compression="uncompressed")
+        where = write(rows.transform(in_arrow, _ask(parts), ROW), new_path(self.spark, "asked"), ("kind",), compression="uncompressed")
         asked = self.spark.read.schema(ROW).parquet(where)
-        self.answers = materialize(dealt(asked.filter("kind = 1"), parts, "part").mapInArrow(_answer(path), ROW), "answers", compression="uncompressed")
+        self.answers = materialize(dealt(asked.filter("kind = 1"), parts, "part").transform(in_arrow, _answer(path), ROW), "answers", compression="uncompressed")
         drop(self.spark, f"{where}/kind=1")
         self.batches = self.spark.read.schema(ROW).parquet(where).filter("kind = 0")
         self.n = self.batches.count()
@@ -189,13 +189,13 @@ class Encoded:
     def lengths(self, out: Callable, schema: str) -> DataFrame:
         """Rows that out(g, ids of the documents, None, ends, None) makes of each batch: ends are those of the documents
         in the batch's token ids."""
-        return dealt(self.batches.unionByName(self.answers.filter("kind = 1")), self.n, "g").mapInArrow(self._run(out, False), schema)
+        return dealt(self.batches.unionByName(self.answers.filter("kind = 1")), self.n, "g").transform(in_arrow, self._run(out, False), schema)
 
     def fill(self, out: Callable, schema: str, extra: DataFrame | None = None) -> DataFrame:
         """Rows that out(g, ids of the documents, token ids, ends, blob) makes of each batch; blob: that of the batch's row
         of kind 3 in extra."""
         rows = self.batches.unionByName(self.answers)
-        return dealt(rows if extra is None else rows.unionByName(extra), self.n, "g").mapInArrow(self._run(out, True), schema)
+        return dealt(rows if extra is None else rows.unionByName(extra), self.n, "g").transform(in_arrow, self._run(out, True), schema)
 
     def _run(self, out: Callable, with_ids: bool):
         end_id, kind = self.end_id, np.dtype(f"<u{self.width}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, crc_mod, materialize, read
+from .common import column, crc_mod, in_arrow, materialize, read
 from .linear import Bag, fit_bag, sigmoid
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     totals = own.groupBy("y").count().collect()
     total = {0: 0, 1: 0} | {r["y"]: r["count"] for r in totals}
-    counts = own.select("y", "text").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= least)
+    counts = own.select("y", "text").transform(in_arrow, count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n0") + F.col("n1") >= least)
     a, b = max(1, total[0]), max(1, total[1])
     ratio = F.log((F.col("n1") + 0.5) / (b + 1.0)) - F.log((F.col("n0") + 0.5) / (a + 1.0))
     z = F.abs(ratio) / F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             of = lambda x: pa.array(x, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "y"), pa.int32()), of([model.row(x) for x in words]), of([p and model.row(p[0]) for p in pairs]), of([p and model.row(p[1]) for p in pairs]), pa.array([bool(x & swap.keys()) for x in words])], names=["y", "x", "one", "other", "swapped"])
 
-    got = own.select("y", "text").mapInArrow(rows_of, "y int, x array<int>, one array<int>, other array<int>, swapped boolean").collect()  # at most `rows`, of their features
+    got = own.select("y", "text").transform(in_arrow, rows_of, "y int, x array<int>, one array<int>, other array<int>, swapped boolean").collect()  # at most `rows`, of their features
     got = sorted(got, key=lambda r: (r["y"], r["x"]))
     y = np.array([r["y"] for r in got], float)
     twins = [r for r in got if r["one"] is not None]
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array([m.score(x.as_py() or "") for x in b.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_arrow, run, "doc_id long, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
