@@ -168,21 +168,35 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str, replicates: int = 200) -
     return means.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.stddev_samp("m"), 6).alias("se"), F.count("*").alias("replicates"))
 
 
-def select_within_caps(spark: SparkSession, sf_dir: str, pages: int = 200, each: int = 20) -> DataFrame:
-    """Documents taken in order of id while the pages left and their language's share allow; the order makes it a loop,
-    which runs over the rows of one group a language, and then on the kept rows alone."""
+def within_caps(rows: DataFrame, id_col: str, category: str, pages: str, target: int, per_category: int, per_document: int) -> DataFrame:
+    """id, category, pages of the documents taken in order of id until `target` pages are reached: a document goes if it has
+    no page or over `per_document`, if its category is full, or if it would overfill one that holds something already.
+
+    Room only shrinks, so of the documents of one category and size those that are taken stand first: the order is walked
+    over at most per_category / size + 1 of each, whatever the table's size. A null category is one of its own."""
+    fit = rows.select(F.col(id_col).alias("id"), F.col(category).alias("category"), F.col(pages).cast("long").alias("pages")).filter(F.col("pages").between(1, per_document))
+    k = F.row_number().over(Window.partitionBy("category", "pages").orderBy("id"))
+    light = fit.withColumn("k", k).filter(F.col("k") <= per_category / F.col("pages") + 1).drop("k")
+
+    def walk(found: pd.DataFrame) -> pd.DataFrame:
+        total, held, out = 0, {}, []
+        for r in found.sort_values("id", kind="stable").itertuples(index=False):
+            if total >= target:
+                break
+            name = None if pd.isna(r.category) else r.category
+            own = held.get(name, 0)
+            if own < per_category and (not own or own + r.pages <= per_category):
+                held[name], total = own + r.pages, total + r.pages
+                out.append((r.id, name, r.pages))
+        return pd.DataFrame(out, columns=["id", "category", "pages"])
+
+    return light.groupBy().applyInPandas(lambda x: walk(x), light.schema)
+
+
+def select_within_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for a review of 200 pages, at most 50 a language and 10 a document; 2,000 characters are a page."""
     rows = lake.table(spark, sf_dir, "documents").select("doc_id", "lang", F.ceil(F.col("n_chars") / 2000.0).alias("pages"))
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter(F.col("k") <= each)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out = pages, []
-        for r in rows.sort_values("doc_id").itertuples():
-            if r.pages <= left:
-                left -= r.pages
-                out.append((r.doc_id, r.lang, r.pages))
-        return pd.DataFrame(out, columns=["doc_id", "lang", "pages"])
-
-    return first.drop("k").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda x: greedy(x), "doc_id long, lang string, pages long")
+    return within_caps(rows, "doc_id", "lang", "pages", 200, 50, 10).select(F.col("id").alias("doc_id"), F.col("category").alias("lang"), "pages")
 
 
 NAME_TITLE = re.compile(r"\b(?:Shri|Smt|Sri|Mr|Mrs|Ms|Dr)\.? ((?:[A-Z][a-z]+ ?){1,3})")

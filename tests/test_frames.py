@@ -93,3 +93,21 @@ def test_large_buckets_meet_anchors(spark):
     links = frames.candidate_links(bands, "id")
     assert links.count() == 32 * 31 // 2 + 32 * (250 - 32)
     assert frames.candidate_links(bands.filter("id < 199"), "id").count() == 199 * 198 // 2
+
+
+def test_documents_within_caps_by_brute_force(spark):
+    """All documents one by one, against the few that the operator walks over."""
+    rng = random.Random(5)
+    for target, cap, most in ((60, 25, 10), (10_000, 25, 10), (40, 3, 9)):
+        rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randrange(13)) for i in rng.sample(range(2000), 500)]
+        total, held, want = 0, {}, []
+        for i, c, p in sorted(rows, key=lambda r: r[0]):
+            if total >= target:
+                break
+            if not 0 < p <= most or held.get(c, 0) >= cap or held.get(c, 0) and held[c] + p > cap:
+                continue
+            total, held[c] = total + p, held.get(c, 0) + p
+            want.append((i, c, p))
+        got = frames.within_caps(spark.createDataFrame(rows, "x long, c string, p int"), "x", "c", "p", target, cap, most)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert not frames.within_caps(spark.createDataFrame([], "x long, c string, p int"), "x", "c", "p", 5, 5, 5).collect()
