@@ -37,6 +37,10 @@ def test_metrics_are_governed():
         Metric("m", "t", "d", "c")
     with pytest.raises(ValueError):
         Metric("m", "t", "d", "c", measure="count(grievance)")
+    with pytest.raises(ValueError):
+        Metric("m", "(SELECT extracted_text FROM t)", "d", "c", measure="count(*)")
+    with pytest.raises(ValueError):
+        Metric("m", "t", "d", "c", measure="count(*)", dimensions=("grievance",))
     with pytest.raises(ValueError):
         METRICS["total_filings"].sql(("status",))
     with pytest.raises(ValueError):
