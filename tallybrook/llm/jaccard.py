@@ -7,11 +7,13 @@ below MISSED. Shorter sets join by prefixes: all shingles stand in one order. Tw
 each (n: the set's size), so no pair is missed, whatever the order is; sets long enough to be similar to a banded one have
 bands as well; one with frequent shingles last makes the fewest
 candidates. A pair that shares its first common shingle at places i and j of sets of sizes n and m has at most
-min(n - i, m - j) shingles in common, which sorts out most pairs before their whole sets are compared.
+min(n - i, m - j) shingles in common, which sorts out most pairs before their whole sets are compared. So do parities: a
+set's shingles fall into 256 places by hash, and a bit tells whether a place holds an odd number of them. Two sets differ
+in at least as many shingles as bits, so that no similar pair is sorted out.
 
 Groups are connected components, so not all pairs of a group have to be compared: after the fingerprints' links each set
-of an entry (the sets with one shingle in their prefixes) is compared with two hubs of the entry, then those pairs whose
-sets are still in different components are.
+of an entry (the sets with one shingle in their prefixes) is compared with two hubs of the entry, in turns with more hubs of
+other components, as long as that links many, then those pairs whose sets are still in different components are.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ from .words import grams, hashes, numbers, slices, words
 SAMPLED, FREQUENT = 20_000, 100_000
 #: Min-hashes in a band, and the chance that two sets of just the wanted similarity share no band.
 IN_BAND, MISSED = 4, 1e-9
+#: Longs of a set's parities.
+PARITIES = 4
+ODD = [f"o{i}" for i in range(PARITIES)]
+#: Hubs an entry that its sets are compared with in a turn, and turns at most; what they leave is compared pair by pair.
+HUBS, TURNS = 16, 6
 #: Bytes of text whose shingles are made at once; bounds memory.
 BATCH = 4 << 20
 
@@ -66,6 +73,15 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles at each of 64 * PARITIES places is odd. Sets whose parities differ in k bits differ
+    in k shingles at least."""
+    with np.errstate(over="ignore"):
+        at = ((s.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * PARITIES)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 class Bands:
     """Keys of a set such that two sets of at least this similarity share one, but for a chance of MISSED."""
 
@@ -109,27 +125,28 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame, shingle: int, least: Fraction, frequent: Broadcast) -> DataFrame:
-    """doc_id, text_hash, node (hash of the set), f0 (its fingerprint), n (its size), prefix (its first shingles in the
-    order, if it is short), bands (if it is long) per row."""
+    """doc_id, text_hash, node (hash of the set), f0 (its fingerprint), n (its size), odd (its parities), prefix (its first
+    shingles in the order, if it is short), bands (if it is long) per row."""
     banded = Bands(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = frequent.value
         for b in slices(batches, BATCH):
-            node, size, prefix, prints, bands = [], [], [], [], []
+            node, size, prefix, prints, odd, bands = [], [], [], [], [], []
             for s in shingles(b.column(b.schema.get_field_index("text")), shingle):
                 n = len(s)
                 node.append(_node(s))
                 size.append(n)
                 prints.append(fingerprint(s))
+                odd.append(parities(s))
                 if len(known) and n <= banded.short:
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[i] == s, often[i], 0), kind="stable")]
                 prefix.append(s[: n - -(-least.numerator * n // least.denominator) + 1] if n <= banded.short else s[:0])
                 bands.append(banded.keys(s) if n >= least * banded.short else s[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "f0", "n", "prefix", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(column(b, "doc_id"), pa.int64()), pa.array(column(b, "text_hash"), pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "f0", "n", "odd", "prefix", "bands"])
 
-    return rows.transform(in_arrow, run, "doc_id long, text_hash long, node long, f0 long, n int, prefix array<long>, bands array<long>")
+    return rows.transform(in_arrow, run, "doc_id long, text_hash long, node long, f0 long, n int, odd array<long>, prefix array<long>, bands array<long>")
 
 
 def _possible(least: Fraction):
@@ -138,6 +155,13 @@ def _possible(least: Fraction):
     return f"least(a.n, b.n) * {q}L >= greatest(a.n, b.n) * {p}L AND least(a.n - a.i, b.n - b.i) * {p + q}L >= (a.n + b.n) * {p}L"
 
 
+def _alike(least: Fraction) -> str:
+    """Whether the parities o0, o1, ... of a and b allow this similarity."""
+    p, q = least.numerator, least.denominator
+    apart = " + ".join(f"bit_count(a.o{i} ^ b.o{i})" for i in range(PARITIES))
+    return f"({apart}) * {p + q}L <= (a.n + b.n) * {q - p}L"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
@@ -161,9 +185,16 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
     return sets.join(least, "f0").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met)
 
 
+def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with the component (root) that the links found make; those whose sets are all in one component go."""
+    named = entries.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
+    return materialize(named.join(mixed, "s"), "mixed")
+
+
 def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """(a, b): links between different sets of at least this similarity, enough of them to connect what is connected.
-    rows: doc_id, text_hash, text; classes: node, f0, n, prefix, bands, first (a row that has the set). Bands say nothing
+    rows: doc_id, text_hash, text; classes: node, f0, n, odd, prefix, bands, first (a row that has the set). Bands say nothing
     of places: theirs count as the first."""
     each = classes.select("node", "n", F.posexplode("prefix").alias("i", "s")).unionByName(classes.select("node", "n", F.lit(0).alias("i"), F.explode("bands").alias("s")))
     shared = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
@@ -190,11 +221,20 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     first = entries.alias("a").join(hubs.alias("b"), F.expr(f"a.s = b.s AND a.node <> b.node AND {_possible(least)}")).select(*ends)
     first = materialize(first.unionByName(near).distinct(), "pairs")
     found = materialize(_verified(first, sets, least), "found")
-    label = components(found)
-    named = entries.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
-    named = materialize(named.join(mixed, "s"), "mixed")
-    rest = named.alias("a").join(named.alias("b"), F.expr(f"a.s = b.s AND a.node < b.node AND a.root <> b.root AND {_possible(least)}")).select(*ends).distinct()
+    odd = classes.select("node", *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITIES)])
+    named = _mixed(entries.join(odd, "node"), found)
+    for turn in range(TURNS):
+        # hubs drawn anew in each turn: where a set is like a tenth of a group, sixteen leave few sets unlinked
+        draw = F.xxhash64("node", F.lit(turn))
+        drawn = named.groupBy("s", F.pmod(draw, F.lit(HUBS)).alias("h")).agg(F.min(F.struct(draw.alias("draw"), "node", "n", "i", "root", *ODD)).alias("hub")).select("s", "hub.*")
+        near = named.alias("a").join(drawn.alias("b"), F.expr(f"a.s = b.s AND a.root <> b.root AND {_possible(least)} AND {_alike(least)}")).select(*ends).distinct()  # at most HUBS a row
+        fresh = materialize(_verified(materialize(near, "pairs"), sets, least), "found")
+        found = found.unionByName(fresh)
+        few = fresh.count() * 1000 < named.count()
+        named = _mixed(named.drop("root"), found)
+        if few:
+            break
+    rest = named.alias("a").join(named.alias("b"), F.expr(f"a.s = b.s AND a.node < b.node AND a.root <> b.root AND {_possible(least)} AND {_alike(least)}")).select(*ends).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(_verified(rest, sets, least))
 
@@ -214,7 +254,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
     own = materialize(_prefixes(rows, shingle, t, frequent), "prefixes")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bands").alias("bands"))
+    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
     met = components(links(rows, classes, shingle, t))
     rooted = classes.select("node", "least", "first").join(met, "node", "left").withColumn("root", F.coalesce("root", "node"))

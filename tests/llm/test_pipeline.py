@@ -104,3 +104,31 @@ def test_language_stage_rejects_what_no_language_fits(spark):
     n = {r["lang"]: r["count"] for r in kept.groupBy("lang").count().collect()}
     every = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     assert None not in n and set(n) == set(every) and all(n[x] >= 0.995 * every[x] for x in every)
+
+
+def test_parities_never_sort_out_similar_sets():
+    """Sets differ in as many shingles as parities at least; sets far apart are told from similar ones."""
+    rng = np.random.default_rng(6)
+    for n in (1, 20, 146, 400):
+        for changed in (0, 1, n // 10, n):
+            s = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+            t = np.unique(np.concatenate([s[changed:], rng.integers(-(1 << 63), 1 << 63, changed)]))
+            apart = int(np.bitwise_count((jaccard.parities(s) ^ jaccard.parities(t)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(s, t)) and (apart - len(np.setxor1d(s, t))) % 2 == 0
+            if changed == n == 146:
+                assert 9 * apart > 2 * n
+    assert not jaccard.parities(np.zeros(0, np.int64)).any()
+
+
+def test_a_group_whose_sets_are_like_few_others_is_found(spark):
+    """Copies of one text, each with edits of its own: most pairs lie just below 0.8."""
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for _ in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == _components_by_brute_force(rows)
