@@ -224,6 +224,9 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     odd = classes.select("node", *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITIES)])
     named = _mixed(entries.join(odd, "node"), found)
     for turn in range(TURNS):
+        k = F.col("count").cast("double")
+        if named.groupBy("s").count().agg(F.coalesce(F.sum(k * k) <= 2 * HUBS * F.sum(k), F.lit(True))).first()[0]:
+            break  # all pairs are no more than a turn's
         # hubs drawn anew in each turn: where a set is like a tenth of a group, sixteen leave few sets unlinked
         draw = F.xxhash64("node", F.lit(turn))
         drawn = named.groupBy("s", F.pmod(draw, F.lit(HUBS)).alias("h")).agg(F.min(F.struct(draw.alias("draw"), "node", "n", "i", "root", *ODD)).alias("hub")).select("s", "hub.*")
