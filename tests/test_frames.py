@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.operators import frames
+from tallybrook.operators import frames, pairs
 from tallybrook.operators.metrics import METRICS, Metric, registry
 from tallybrook.sources import lake
 
@@ -115,3 +116,37 @@ def test_documents_within_caps_by_brute_force(spark):
         got = frames.within_caps(spark.createDataFrame(rows, "x long, c string, p int"), "x", "c", "p", target, cap, most)
         assert sorted(tuple(r) for r in got.collect()) == want
     assert not frames.within_caps(spark.createDataFrame([], "x long, c string, p int"), "x", "c", "p", 5, 5, 5).collect()
+
+
+def test_similar_texts_by_brute_force(spark):
+    """Pairs of different texts, and copies by their representative, on texts of every length; rows with nulls have no pairs."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        base = "".join(rng.choices("abcdefgh ", k=rng.choice([5, 9, 14, 30, 60, 150, 400, 1500])))
+        for _ in range(5):
+            body = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 5, 9])):
+                body[rng.randrange(len(body))] = rng.choice("xyz")
+            texts.append((f"i{len(texts):03}", "".join(body), rng.choice("uuuv")))
+    texts += [texts[0], (None, texts[0][1], "u"), ("n1", None, "u"), ("n2", texts[0][1], None), ("n3", "abc", "u"), ("n4", "abc", "u"), ("i000", texts[0][1] + "z", texts[0][2])]
+    got = sorted(tuple(r) for r in pairs.similar_texts(spark.createDataFrame(texts, "item string, body string, block string")).collect())
+    rep, grams = {}, {}
+    for i, t, k in texts:
+        if i and t and k and len(t) >= 5:
+            rep[t, k] = min(i, rep.get((t, k), i))
+            grams[t] = {t[j : j + 5] for j in range(len(t) - 4)}
+    want = [(rep[t, k], i, 1.0, True) for i, t, k in set(texts) if (t, k) in rep and i and i > rep[t, k]]
+    for (t, k), (u, m) in itertools.combinations(rep, 2):
+        both, either = len(grams[t] & grams[u]), len(grams[t] | grams[u])
+        if k == m and 5 * both >= 4 * either:
+            want.append((*sorted((rep[t, k], rep[u, m])), round(both / either, 6), False))
+    assert sum(x[3] for x in want) > 20 and sum(not x[3] for x in want) > 40 and got == sorted(want)
+
+
+def test_group_of_near_copies_gives_each_pair_about_once(spark):
+    body = "".join(random.Random(5).choices("abcdefgh ", k=600))
+    texts = [(f"i{n:03}", body[: n * 3] + "#" + body[n * 3 + 1 :], "u") for n in range(150)]
+    classes = spark.createDataFrame(texts, "rep string, body string, block string").selectExpr("*", "xxhash64(block, body) AS node")
+    joined = pairs.meetings(pairs._sets(classes)).count()
+    assert 150 * 149 // 2 <= joined < 2 * 150 * 149 // 2

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+import __spark_entry__
 import tallybrook.operators  # noqa: F401
 from tallybrook.plans.layer import TABLES, VIEWS, Dialect, oracle, query, render
 
@@ -38,6 +39,14 @@ def test_view_equals_oracle(spark, sf_dir, con, name):
     assert sorted(repr([plain(v) for v in r]) for r in want) == sorted(repr([plain(v) for v in r]) for r in got)
 
 
+@pytest.mark.parametrize("name", ["jaccard_pairs", "near_pairs"])
+def test_pairs_equal_their_oracle(spark, sf_dir, con, name):
+    df = __spark_entry__.queries()[name](spark, sf_dir)
+    cols = sorted(df.columns)
+    got = con.execute(f'SELECT {", ".join(cols)} FROM ({oracle(name)}) x').fetchall()
+    assert sorted(tuple(r[c] for c in cols) for r in df.collect()) == sorted(got)
+
+
 def test_every_view_has_an_oracle(con):
     for name in VIEWS:
         con.execute(f"EXPLAIN {oracle(name)}")
@@ -106,7 +115,17 @@ def test_near_pairs_by_brute_force(spark):
             for _ in range(rng.randrange(4)):
                 body[rng.randrange(len(body))] = "#"
             texts.append((f"i{len(texts):03}", "".join(body), "x" if rng.random() < 0.8 else "y"))
-    got = {(r["a"], r["b"]): r["jaccard"] for r in run(spark, "near_pairs", dedup_texts=spark.createDataFrame(texts, "item string, body string, block string"))}
+    own = spark.createDataFrame(texts, "item string, body string, block string")
+    listed = run(spark, "jaccard_pairs", dedup_texts=own)
+    assert sorted((r["a"], r["b"], r["jaccard"]) for r in listed) == sorted((r["a"], r["b"], r["jaccard"]) for r in run(spark, "near_pairs", dedup_texts=own))
+    members = {i: [i] for i, _, _ in texts}  # of a representative: itself and its copies
+    for r in listed:
+        if r["same_text"]:
+            members[r["a"]].append(r["b"])
+    got = {(a, b): 1.0 for m in members.values() for a in m for b in m if a < b}
+    for r in listed:
+        if not r["same_text"]:
+            got |= {(min(a, b), max(a, b)): r["jaccard"] for a in members[r["a"]] for b in members[r["b"]]}
     grams = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t, _ in texts}
     want = {(a, b): round(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), 6) for a, _, p in texts for b, _, q in texts if a < b and p == q and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])}
     assert len(want) > 10 and got == want
