@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,5 +37,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = state(links)
         if after == before:
             break
+        tidy(links.sparkSession)
         before = after
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,7 +8,7 @@ each (n: the set's size), so no pair is missed, whatever the order is; sets long
 bands as well; one with frequent shingles last makes the fewest
 candidates. A pair that shares its first common shingle at places i and j of sets of sizes n and m has at most
 min(n - i, m - j) shingles in common, which sorts out most pairs before their whole sets are compared. So do parities: a
-set's shingles fall into 256 places by hash, and a bit tells whether a place holds an odd number of them. Two sets differ
+set's shingles fall into 1024 places by hash, and a bit tells whether a place holds an odd number of them. Two sets differ
 in at least as many shingles as bits, so that no similar pair is sorted out.
 
 Groups are connected components, so not all pairs of a group have to be compared: after the fingerprints' links each set
@@ -18,7 +18,9 @@ other components, as long as that links many, then those pairs whose sets are st
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .bitmap import bitmap, in_bitmap
-from .common import column, in_arrow, keepers, materialize, small_batches, spread
+from .common import column, in_arrow, keepers, materialize, small_batches, spread, tidy
 from .components import components
 from .exchange import mix
 from .words import grams, hashes, numbers, slices, words
@@ -40,9 +42,12 @@ from .words import grams, hashes, numbers, slices, words
 SAMPLED, FREQUENT = 20_000, 100_000
 #: Min-hashes in a band, and the chance that two sets of just the wanted similarity share no band.
 IN_BAND, MISSED = 4, 1e-9
-#: Longs of a set's parities.
-PARITIES = 4
-ODD = [f"o{i}" for i in range(PARITIES)]
+#: Longs of a set's parities, and of what they are folded to where they stand by every entry.
+PARITIES, FOLDED = 16, 4
+ODD, WIDE = [f"o{i}" for i in range(FOLDED)], [f"w{i}" for i in range(PARITIES)]
+#: First shingles of a prefix that stand by every entry, so that a pair is listed about once.
+LEAD = 6
+FIRST = [f"l{i}" for i in range(LEAD)]
 #: Hubs an entry that its sets are compared with in a turn, and turns at most; what they leave is compared pair by pair.
 HUBS, TURNS = 16, 6
 #: Bytes of text whose shingles are made at once; bounds memory.
@@ -155,13 +160,26 @@ def _possible(least: Fraction):
     return f"least(a.n, b.n) * {q}L >= greatest(a.n, b.n) * {p}L AND least(a.n - a.i, b.n - b.i) * {p + q}L >= (a.n + b.n) * {p}L"
 
 
-def _alike(least: Fraction) -> str:
-    """Whether the parities o0, o1, ... of a and b allow this similarity."""
+def _alike(least: Fraction, odd: list[str]) -> str:
+    """Whether these parities of a and b allow this similarity."""
     p, q = least.numerator, least.denominator
-    apart = " + ".join(f"bit_count(a.o{i} ^ b.o{i})" for i in range(PARITIES))
+    apart = " + ".join(f"bit_count(a.{o} ^ b.{o})" for o in odd)
     return f"({apart}) * {p + q}L <= (a.n + b.n) * {q - p}L"
 
 
+def _unlisted() -> str:
+    """Whether no shingle before this entry's, among the first of a and of b, is in both: there the pair is listed already,
+    as earlier places allow all that later ones do. Bands have place 0, so that they hide nothing and aren't hidden."""
+    return " AND ".join(f"NOT (a.i > {i} AND b.i > {j} AND a.l{i} <=> b.l{j} AND a.l{i} IS NOT NULL)" for i in range(LEAD) for j in range(LEAD))
+
+
+def _sorted_out(pairs: DataFrame, wide: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs without those whose parities show that the sets are not similar; sets are large to fetch."""
+    a, b = (wide.select(F.col("node").alias(x), F.struct("n", *WIDE).alias(f"at_{x}")) for x in "ab")
+    alike = re.sub(r"\b([ab])\.", r"at_\1.", _alike(least, WIDE))
+    return pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
@@ -219,26 +237,29 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     ends = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
     near = _fingerprint_pairs(classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "f0"))
     first = entries.alias("a").join(hubs.alias("b"), F.expr(f"a.s = b.s AND a.node <> b.node AND {_possible(least)}")).select(*ends)
-    first = materialize(first.unionByName(near).distinct(), "pairs")
+    wide = classes.select("node", "n", *[F.col("odd")[i].alias(w) for i, w in enumerate(WIDE)])
+    first = materialize(_sorted_out(first.unionByName(near).distinct(), wide, least), "pairs")
     found = materialize(_verified(first, sets, least), "found")
-    odd = classes.select("node", *[F.col("odd")[i].alias(f"o{i}") for i in range(PARITIES)])
-    named = _mixed(entries.join(odd, "node"), found)
+    folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col("odd")[j] for j in range(i, PARITIES, FOLDED)]).alias(o) for i, o in enumerate(ODD)]
+    named = _mixed(entries.join(classes.select("node", *folded, *[F.get("prefix", F.lit(i)).alias(x) for i, x in enumerate(FIRST)]), "node"), found)
+    met = f"a.s = b.s AND a.root <> b.root AND {_possible(least)} AND {_alike(least, ODD)}"
     for turn in range(TURNS):
+        tidy(rows.sparkSession)
         k = F.col("count").cast("double")
         if named.groupBy("s").count().agg(F.coalesce(F.sum(k * k) <= 2 * HUBS * F.sum(k), F.lit(True))).first()[0]:
             break  # all pairs are no more than a turn's
         # hubs drawn anew in each turn: where a set is like a tenth of a group, sixteen leave few sets unlinked
         draw = F.xxhash64("node", F.lit(turn))
         drawn = named.groupBy("s", F.pmod(draw, F.lit(HUBS)).alias("h")).agg(F.min(F.struct(draw.alias("draw"), "node", "n", "i", "root", *ODD)).alias("hub")).select("s", "hub.*")
-        near = named.alias("a").join(drawn.alias("b"), F.expr(f"a.s = b.s AND a.root <> b.root AND {_possible(least)} AND {_alike(least)}")).select(*ends).distinct()  # at most HUBS a row
-        fresh = materialize(_verified(materialize(near, "pairs"), sets, least), "found")
+        near = named.alias("a").join(drawn.alias("b"), F.expr(met)).select(*ends).distinct()  # at most HUBS a row
+        fresh = materialize(_verified(materialize(_sorted_out(near, wide, least), "pairs"), sets, least), "found")
         found = found.unionByName(fresh)
         few = fresh.count() * 1000 < named.count()
         named = _mixed(named.drop("root"), found)
         if few:
             break
-    rest = named.alias("a").join(named.alias("b"), F.expr(f"a.s = b.s AND a.node < b.node AND a.root <> b.root AND {_possible(least)} AND {_alike(least)}")).select(*ends).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = named.alias("a").join(named.alias("b"), F.expr(f"{met} AND a.node < b.node AND {_unlisted()}")).select(*ends).distinct()
+    rest = materialize(_sorted_out(rest.join(first, ["a", "b"], "left_anti"), wide, least), "pairs")
     return found.unionByName(_verified(rest, sets, least))
 
 

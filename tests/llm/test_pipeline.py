@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallybrook.llm import common, decontam, jaccard, registry
@@ -132,3 +133,23 @@ def test_a_group_whose_sets_are_like_few_others_is_found(spark):
     rows = list(enumerate(rows))
     got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == _components_by_brute_force(rows)
+
+
+def test_a_pair_of_sets_is_listed_about_once(spark, monkeypatch):
+    """Sets just below the similarity share many shingles of their prefixes, and stood in the last join once for each; long
+    sets that are no near copies were fetched to be compared."""
+    rng, seen = random.Random(11), []
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets, least: seen.append(pairs.count()) or verified(pairs, sets, least))
+    texts = []
+    for n in range(6):
+        words = [f"w{n}x{rng.randrange(10**6)}" for _ in range(1200)]
+        texts += [" ".join(words), " ".join(w if i % 10 else f"e{n}{i}" for i, w in enumerate(words))]  # similarity 1 / 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(rows).collect()} == {i: i for i in range(12)}
+    assert sum(seen) == 0
+    monkeypatch.undo()
+    lead = [f"{i}L AS l{i}" for i in range(jaccard.LEAD)]
+    entries = spark.range(30).selectExpr("id AS s", "int(id) AS i", *lead).crossJoin(spark.range(2).withColumnRenamed("id", "node"))
+    got = entries.alias("a").join(entries.alias("b"), F.expr(f"a.s = b.s AND a.node < b.node AND {jaccard._unlisted()}"))
+    assert got.count() == 1
