@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .bitmap import bitmap, in_bitmap
-from .common import column, in_arrow, keepers, materialize, small_batches, spread, tidy
+from .common import column, forget, in_arrow, keepers, materialize, over, small_batches, spread, tidy
 from .components import components
 from .exchange import mix
 from .words import grams, hashes, numbers, slices, words
@@ -42,9 +42,9 @@ from .words import grams, hashes, numbers, slices, words
 SAMPLED, FREQUENT = 20_000, 100_000
 #: Min-hashes in a band, and the chance that two sets of just the wanted similarity share no band.
 IN_BAND, MISSED = 4, 1e-9
-#: Longs of a set's parities, and of what they are folded to where they stand by every entry.
-PARITIES, FOLDED = 16, 4
-ODD, WIDE = [f"o{i}" for i in range(FOLDED)], [f"w{i}" for i in range(PARITIES)]
+#: Longs of a set's parities. All stand by every entry: folded to fewer they say little of long sets.
+PARITIES = 16
+WIDE = [f"w{i}" for i in range(PARITIES)]
 #: First shingles of a prefix that stand by every entry, so that a pair is listed about once.
 LEAD = 6
 FIRST = [f"l{i}" for i in range(LEAD)]
@@ -160,28 +160,40 @@ def _possible(least: Fraction):
     return f"least(a.n, b.n) * {q}L >= greatest(a.n, b.n) * {p}L AND least(a.n - a.i, b.n - b.i) * {p + q}L >= (a.n + b.n) * {p}L"
 
 
-def _alike(least: Fraction, odd: list[str]) -> str:
-    """Whether these parities of a and b allow this similarity."""
+def _alike(least: Fraction) -> str:
+    """Whether the parities of a and b allow this similarity."""
     p, q = least.numerator, least.denominator
-    apart = " + ".join(f"bit_count(a.{o} ^ b.{o})" for o in odd)
+    apart = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in WIDE)
     return f"({apart}) * {p + q}L <= (a.n + b.n) * {q - p}L"
 
 
 def _unlisted() -> str:
     """Whether no shingle before this entry's, among the first of a and of b, is in both: there the pair is listed already,
     as earlier places allow all that later ones do. Bands have place 0, so that they hide nothing and aren't hidden."""
-    return " AND ".join(f"NOT (a.i > {i} AND b.i > {j} AND a.l{i} <=> b.l{j} AND a.l{i} IS NOT NULL)" for i in range(LEAD) for j in range(LEAD))
+    return " AND ".join(f"NOT (a.i > {i} AND b.i > {j} AND a.l{i} = b.l{j})" for i in range(LEAD) for j in range(LEAD))
+
+
+def _whole(entries: DataFrame) -> DataFrame:
+    """Entries, which hold no nulls, as columns of which Spark knows that: else the code of a join's condition gets too long
+    to be compiled."""
+    return entries.select([F.coalesce(c, F.lit(0)).alias(c) for c in entries.columns])
 
 
 def _sorted_out(pairs: DataFrame, wide: DataFrame, least: Fraction) -> DataFrame:
     """Pairs without those whose parities show that the sets are not similar; sets are large to fetch."""
     a, b = (wide.select(F.col("node").alias(x), F.struct("n", *WIDE).alias(f"at_{x}")) for x in "ab")
-    alike = re.sub(r"\b([ab])\.", r"at_\1.", _alike(least, WIDE))
+    alike = re.sub(r"\b([ab])\.", r"at_\1.", _alike(least))
     return pairs.join(a, "a").join(b, "b").filter(alike).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
+    held = pairs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"))  # at most 16 MB
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Few sets but those of the pairs, so that few are exchanged."""
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(held.value, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,6 +201,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
             keep = pa.array([similar(np.frombuffer(x.as_py(), "<i8"), np.frombuffer(y.as_py(), "<i8"), least) for x, y in zip(a, c, strict=True)], pa.bool_())
             yield b.select(["a", "b"]).filter(keep)
 
+    sets = sets.select("node", "g").transform(in_arrow, near, "node long, g binary")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("node").alias("b"), F.col("g").alias("gb")), "b")
     return met.select("a", "b", "ga", "gb").transform(in_arrow, run, "a long, b long")
 
@@ -200,14 +213,17 @@ def _fingerprint_pairs(sets: DataFrame) -> DataFrame:
     least = materialize(sets.groupBy("f0").agg(F.min("node").alias("head")), "heads")
     heads = [least.select(F.col("f0").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab"]
     met = simhash.links(least.select("f0")).distinct().join(heads[0], "a").join(heads[1], "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
-    return sets.join(least, "f0").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met)
+    return over(sets.join(least, "f0").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met), sets, least)
 
 
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """Entries with the component (root) that the links found make; those whose sets are all in one component go."""
-    named = entries.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """Entries with the component (root) that the links found make; those whose sets are all in one component go. The table
+    of entries is deleted."""
+    named = entries.join(met := components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s")
-    return materialize(named.join(mixed, "s"), "mixed")
+    out = materialize(named.join(mixed, "s"), "mixed")
+    forget(entries, met)
+    return out
 
 
 def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) -> DataFrame:
@@ -216,7 +232,8 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     of places: theirs count as the first."""
     each = classes.select("node", "n", F.posexplode("prefix").alias("i", "s")).unionByName(classes.select("node", "n", F.lit(0).alias("i"), F.explode("bands").alias("s")))
     shared = each.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1").select("s")
-    entries = materialize(each.join(shared, "s"), "entries")
+    facts = classes.select("node", *[F.col("odd")[i].alias(w) for i, w in enumerate(WIDE)], *[F.coalesce(F.get("prefix", F.lit(i)), F.lit(0)).alias(x) for i, x in enumerate(FIRST)])
+    entries = materialize(each.join(shared, "s").join(facts, "node"), "entries")
 
     wanted = classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("first.text_hash").alias("text_hash"))
     held = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "text_hash"))  # at most 16 MB
@@ -232,17 +249,18 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
     sets = materialize(found.groupBy("node").agg(F.any_value("g").alias("g")), "sets")
 
     # two hubs an entry, the same ones wherever the same sets meet
-    hubs = entries.groupBy("s").agg(F.min(F.struct("node", "n", "i")).alias("x"), F.max(F.struct("node", "n", "i")).alias("y"))
-    hubs = hubs.select("s", F.explode(F.array("x", "y")).alias("hub")).select("s", "hub.*")
+    hub = F.struct("node", "n", "i", *WIDE)
+    hubs = entries.groupBy("s").agg(F.min(hub).alias("x"), F.max(hub).alias("y")).select("s", F.explode(F.array("x", "y")).alias("hub")).select("s", "hub.*")
     ends = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    near = _fingerprint_pairs(classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "f0"))
-    first = entries.alias("a").join(hubs.alias("b"), F.expr(f"a.s = b.s AND a.node <> b.node AND {_possible(least)}")).select(*ends)
-    wide = classes.select("node", "n", *[F.col("odd")[i].alias(w) for i, w in enumerate(WIDE)])
-    first = materialize(_sorted_out(first.unionByName(near).distinct(), wide, least), "pairs")
-    found = materialize(_verified(first, sets, least), "found")
-    folded = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.col("odd")[j] for j in range(i, PARITIES, FOLDED)]).alias(o) for i, o in enumerate(ODD)]
-    named = _mixed(entries.join(classes.select("node", *folded, *[F.get("prefix", F.lit(i)).alias(x) for i, x in enumerate(FIRST)]), "node"), found)
-    met = f"a.s = b.s AND a.root <> b.root AND {_possible(least)} AND {_alike(least, ODD)}"
+    may = f"{_possible(least)} AND {_alike(least)}"
+    prints = _fingerprint_pairs(classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "f0"))
+    near = _sorted_out(prints, classes.select("node", "n", *[F.col("odd")[i].alias(w) for i, w in enumerate(WIDE)]), least)
+    first = _whole(entries).alias("a").join(_whole(hubs).alias("b"), F.expr(f"a.s = b.s AND a.node <> b.node AND {may}")).select(*ends)
+    first = materialize(first.unionByName(near).distinct(), "pairs")
+    forget(prints)
+    found = [materialize(_verified(first, sets, least), "found")]
+    named = _mixed(entries, found[0])
+    met = f"a.s = b.s AND a.root <> b.root AND {may}"
     for turn in range(TURNS):
         tidy(rows.sparkSession)
         k = F.col("count").cast("double")
@@ -250,17 +268,19 @@ def links(rows: DataFrame, classes: DataFrame, shingle: int, least: Fraction) ->
             break  # all pairs are no more than a turn's
         # hubs drawn anew in each turn: where a set is like a tenth of a group, sixteen leave few sets unlinked
         draw = F.xxhash64("node", F.lit(turn))
-        drawn = named.groupBy("s", F.pmod(draw, F.lit(HUBS)).alias("h")).agg(F.min(F.struct(draw.alias("draw"), "node", "n", "i", "root", *ODD)).alias("hub")).select("s", "hub.*")
-        near = named.alias("a").join(drawn.alias("b"), F.expr(met)).select(*ends).distinct()  # at most HUBS a row
-        fresh = materialize(_verified(materialize(_sorted_out(near, wide, least), "pairs"), sets, least), "found")
-        found = found.unionByName(fresh)
-        few = fresh.count() * 1000 < named.count()
-        named = _mixed(named.drop("root"), found)
+        drawn = named.groupBy("s", F.pmod(draw, F.lit(HUBS)).alias("h")).agg(F.min(F.struct(draw.alias("draw"), "node", "n", "i", "root", *WIDE)).alias("hub")).select("s", "hub.*")
+        near = materialize(_whole(named).alias("a").join(_whole(drawn).alias("b"), F.expr(met)).select(*ends).distinct(), "pairs")  # at most HUBS a row
+        found.append(materialize(_verified(near, sets, least), "found"))
+        forget(near)
+        few = found[-1].count() * 200 < named.count()
+        named = _mixed(over(named.drop("root"), named), functools.reduce(DataFrame.unionByName, found))
         if few:
             break
-    rest = named.alias("a").join(named.alias("b"), F.expr(f"{met} AND a.node < b.node AND {_unlisted()}")).select(*ends).distinct()
-    rest = materialize(_sorted_out(rest.join(first, ["a", "b"], "left_anti"), wide, least), "pairs")
-    return found.unionByName(_verified(rest, sets, least))
+    rest = _whole(named).alias("a").join(_whole(named).alias("b"), F.expr(f"a.node < b.node AND {met} AND {_unlisted()}")).select(*ends).distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    out = materialize(functools.reduce(DataFrame.unionByName, [*found, _verified(rest, sets, least)]), "found")
+    forget(sets, first, named, rest, *found)
+    return out
 
 
 def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,15 +300,21 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str =
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     classes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(first).alias("first"), F.any_value("f0").alias("f0"), F.any_value("n").alias("n"), F.any_value("odd").alias("odd"), F.any_value("prefix").alias("prefix"), F.any_value("bands").alias("bands"))
     classes = materialize(classes, "classes")
-    met = components(links(rows, classes, shingle, t))
+    found = links(rows, classes, shingle, t)
+    met = components(found)
+    forget(found)
     rooted = classes.select("node", "least", "first").join(met, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keep"))
     named = spread(rooted.select("node", "root"), best, "root", "node").drop("root")
-    return spread(own.select("doc_id", "text_hash", "node"), named, "node", "doc_id").withColumn("keeper", first.eqNullSafe(F.col("keep"))).drop("keep", "node")
+    out = spread(own.select("doc_id", "text_hash", "node"), named, "node", "doc_id").withColumn("keeper", first.eqNullSafe(F.col("keep"))).drop("keep", "node")
+    return over(out, own, classes, met)
 
 
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs of which each group of near duplicates keeps one: that of the least doc_id (then text hash; of
     rows equal in both, one). All columns are kept; see groups()."""
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    return keepers(docs, groups(docs, **how), id_col, text_col)
+    found = groups(docs, **how)
+    kept = keepers(docs, found, id_col, text_col)
+    forget(found)
+    return kept

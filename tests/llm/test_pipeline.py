@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, on the smallest tables."""
 
+import pathlib
 import random
 from fractions import Fraction
 
@@ -7,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallybrook.llm import common, decontam, jaccard, registry
+from tallybrook.llm import common, components, decontam, jaccard, registry
 
 
 def test_stages_keep_columns_and_only_remove_rows(spark, sf_dir):
@@ -153,3 +154,49 @@ def test_a_pair_of_sets_is_listed_about_once(spark, monkeypatch):
     entries = spark.range(30).selectExpr("id AS s", "int(id) AS i", *lead).crossJoin(spark.range(2).withColumnRenamed("id", "node"))
     got = entries.alias("a").join(entries.alias("b"), F.expr(f"a.s = b.s AND a.node < b.node AND {jaccard._unlisted()}"))
     assert got.count() == 1
+
+
+def test_joins_make_no_pairs_that_parities_sort_out(spark, monkeypatch):
+    """Long sets that are no near copies share bands; parities that were folded to 256 told them apart only after the join."""
+    rng, seen = random.Random(12), []
+    sorted_out = jaccard._sorted_out
+    monkeypatch.setattr(jaccard, "_sorted_out", lambda pairs, *how: seen.append(pairs.count()) or sorted_out(pairs, *how))
+    texts = []
+    for n in range(8):
+        words = [f"w{n}x{rng.randrange(10**6)}" for _ in range(1200)]
+        texts += [" ".join(words), " ".join(w if i % 14 else f"e{n}{i}" for i, w in enumerate(words))]  # similarity 0.47
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(rows).collect()} == {i: i for i in range(16)}
+    assert sum(seen) == 0  # of fingerprints alone
+
+
+def test_near_dedup_leaves_one_table(spark, sf_dir):
+    root = pathlib.Path(common.shared_dir(spark).removeprefix("file://"))
+    docs, before = common.read(spark, sf_dir, "documents"), set(root.iterdir())
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert [p.name.split("-")[0] for p in set(root.iterdir()) - before] == ["keepers"]
+    assert 0 < kept.count() < docs.count()
+
+
+def test_rows_of_no_group_are_not_exchanged(spark):
+    """Rows that a bitmap tells from all that go aren't joined, with whole texts, to find out whether they stay."""
+    rows = spark.createDataFrame([(i, f"t{i % 90}") for i in range(100)] + [(3, "t3"), (None, "t5"), (None, "x"), (7, None)], "doc_id long, text string")
+    found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), (F.col("doc_id").isNull() | (F.col("doc_id") < 90)).alias("keeper"))
+    kept = common.keepers(rows, found, "doc_id", "text")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.filter("doc_id is null or doc_id < 90").distinct().collect()))
+    assert "Join" not in kept._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+
+
+def test_components_at_once_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(13)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(30)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(-5, None), (7, 7)]
+    label = {x: x for a, b in links if b is not None and a != b for x in (a, b)}
+    while any(label[a] != label[b] for a, b in links if b is not None and a != b):
+        for a, b in links:
+            if b is not None and a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    table = spark.createDataFrame(links, "a long, b long")
+    for most in (components.AT_ONCE, 0):
+        monkeypatch.setattr(components, "AT_ONCE", most)
+        assert {r["node"]: r["root"] for r in components.components(table).collect()} == label
+    assert components.components(table.filter("a = -5 or a = b")).count() == 0
